@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, packing, simhash
 from .common import table
 
 
@@ -20,9 +20,20 @@ def byte_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")[0])
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": near_duplicates,
         "op7_byte_bpe": byte_bpe_digests,
+        "op9_packing": packed,
     }
 
 
