@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, media, packing, quality, simhash, toxicity
+from . import byte_bpe, html_text, language, media, packing, quality, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -21,6 +21,14 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.against_edits(table(spark, sf_dir, "documents"))
+
+
 def stored_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
@@ -51,11 +59,13 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_crf": languages,
+        "op2_html": main_texts,
         "op3_simhash": near_duplicates,
         "op4_media": stored_media,
         "op5_toxicity": toxicity_scores,
         "op6_quality_fm": quality_scores,
         "op7_byte_bpe": byte_bpe_digests,
+        "op8_spotsigs": spot_signatures,
         "op9_packing": packed,
     }
 
