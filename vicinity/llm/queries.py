@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, language, media, packing, quality, simhash, spotsigs, toxicity
+from . import byte_bpe, html_text, language, media, packing, pii, quality, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_crf": languages,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": byte_bpe_digests,
         "op8_spotsigs": spot_signatures,
         "op9_packing": packed,
+        "op10_pii": personal_data,
     }
 
 
