@@ -153,7 +153,10 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    A column ``n_chars`` gets the new length where the text changed.
+    """
     kinds = (*(k[0] for k in KINDS), "context")
 
     def tag(kind: str) -> Column:
@@ -170,4 +173,6 @@ def mask(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
     joined = docs.join(spans, hit, "left")
-    return joined.select(*(F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    joined = joined.withColumn("__text", F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text")))
+    changed = {"text": F.col("__text"), "n_chars": F.when(F.col("__spans").isNotNull(), F.length("__text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return joined.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
