@@ -1,9 +1,478 @@
-"""Every query by name, with its SQL."""
+"""Every query by name, with its SQL. Numbers are rounded to at most six places in both.
 
+``events`` stand in for payments: what a payload carries ready-made is derived from each user's
+earlier events. ``embeddings`` stand in for other vectors. Searches take as queries the rows whose id
+is divisible by 50, against all rows.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT_RISK
+from ..functions import kernels
+from ..functions.features import clamp, day_of_week, hour_of_day, mcc_risk, minutes_between, rounded, rounded_feature, unknown_merchant
+from ..functions.validation import below, blank, errors, is_fraud
+from ..operators import aggregates, evaluate
+from ..operators.decide import analyze, decide, vote
+from ..operators.knn import knn
+from ..schemas import PAYLOAD
+from ..sources import generate, payloads
+
+DIMS = 64
+# Risk of event types; one type is left out for the default.
+EVENT_RISK = {"error": 0.85, "purchase": 0.45, "click": 0.2, "view": 0.1}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _six(x: Column) -> Column:
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
+# events as payments
+
+EVENT_SQL = """
+WITH e AS (
+  SELECT event_id, user_id, event_type, value, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+), w AS (
+  SELECT *, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER o AS DOUBLE) / (count(*) OVER o) / 100e0 AS running,
+    lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_ts, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_value,
+    count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS n24,
+    row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS sight
+  FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), raw AS (
+  SELECT event_id, event_type, value / 500e0 AS r0, (k % 12 + 1) / 12e0 AS r1, CASE WHEN running = 0 THEN 1e0 ELSE value / running / 10e0 END AS r2,
+    extract(hour FROM ts) / 23e0 AS r3, (isodow(ts) - 1) / 6e0 AS r4,
+    (epoch_us(ts) - epoch_us(last_ts)) / 6e7 / 1440e0 AS r5, abs(value - last_value) / 500e0 AS r6, k / 100e0 AS r7, n24 / 20e0 AS r8,
+    CASE WHEN user_id % 2 = 0 THEN 1e0 ELSE 0e0 END AS r9, CASE WHEN user_id % 2 <> 0 AND user_id % 3 = 0 THEN 1e0 ELSE 0e0 END AS r10,
+    CASE WHEN sight = 1 THEN 1e0 ELSE 0e0 END AS r11,
+    CASE event_type WHEN 'error' THEN 0.85e0 WHEN 'purchase' THEN 0.45e0 WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.1e0 ELSE 0.5e0 END AS r12, running / 500e0 AS r13
+  FROM w
+), f AS (
+  SELECT event_id, event_type, {columns} FROM raw
+)
+""".format(
+    columns=", ".join(
+        ("CASE WHEN r{0} IS NULL THEN -1e0 ELSE " if i in (5, 6) else "").format(i) + f"floor((CASE WHEN r{i} < 0 THEN 0e0 WHEN r{i} > 1 THEN 1e0 ELSE r{i} END) * 1e4 + 0.5e0) / 1e4" + (" END" if i in (5, 6) else "") + f" AS d{i}"
+        for i in range(14)
+    )
+)
+_D2 = " + ".join(f"(q.d{i} - r.d{i}) * (q.d{i} - r.d{i})" for i in range(14))
+
+
+def _event_knn_sql(k: int, refs: str = "true") -> str:
+    return f"""{EVENT_SQL}, pairs AS (
+  SELECT q.event_id AS query_id, r.event_id AS ref_id, {_D2} AS d2, r.event_type = 'error' AS is_fraud FROM f q, f r WHERE q.event_id % 50 = 0 AND {refs}
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, ref_id) AS rank FROM pairs QUALIFY rank <= {k}
+)"""
+
+
+_EVENT_NEIGHBOURS = "SELECT query_id, ref_id, floor(d2 * 1e6 + 0.5e0) / 1e6 AS d2, is_fraud, rank FROM best"
+_DECIDED = """, votes AS (
+  SELECT q.event_id AS query_id, count(b.ref_id) AS total, coalesce(sum(CASE WHEN b.is_fraud THEN 1 ELSE 0 END), 0) AS frauds
+  FROM (SELECT event_id FROM f WHERE event_id % 50 = 0) q LEFT JOIN best b ON b.query_id = q.event_id GROUP BY q.event_id
+), decided AS (
+  SELECT query_id, CASE WHEN total = 0 THEN 0e0 ELSE CAST(frauds AS DOUBLE) / total END AS fraud_score, total = 0 OR 5 * frauds < 3 * total AS approved FROM votes
+) """
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id``, ``event_type`` and the fourteen features d0 to d13 of each event."""
+    e = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    so_far = by_user.rowsBetween(Window.unboundedPreceding, 0)  # summed in whole cents, which no order of adding changes
+    day = Window.partitionBy("user_id").orderBy("micros").rangeBetween(-86_400_000_000, 0)
+    e = e.withColumn("micros", F.unix_micros("ts")).withColumns(
+        {
+            "running": F.sum(F.round(F.col("value") * 100).cast("bigint")).over(so_far).cast("double") / F.count("*").over(so_far) / 100.0, "last_ts": F.lag("ts").over(by_user), "last_value": F.lag("value").over(by_user),
+            "n24": F.count("*").over(day), "sight": F.row_number().over(Window.partitionBy("user_id", "k").orderBy("ts", "event_id")),
+        }
+    )
+    c, one = F.col, lambda condition: F.when(condition, 1.0).otherwise(0.0)
+    odd = c("user_id") % 2 != 0
+    raw = [
+        c("value") / 500, (c("k") % 12 + 1) / 12.0, F.when(c("running") == 0, 1.0).otherwise(c("value") / F.nullif(c("running"), F.lit(0.0)) / 10), hour_of_day(c("ts")), day_of_week(c("ts")),
+        minutes_between(c("last_ts"), c("ts")) / 1440, F.abs(c("value") - c("last_value")) / 500, c("k") / 100.0, c("n24") / 20.0, one(~odd), one(odd & (c("user_id") % 3 == 0)), one(c("sight") == 1),
+        mcc_risk(c("event_type"), EVENT_RISK), c("running") / 500,
+    ]
+    return e.select("event_id", "event_type", *(F.coalesce(rounded_feature(clamp(x)), F.lit(-1.0)).alias(f"d{i}") if i in (5, 6) else rounded_feature(clamp(x)).alias(f"d{i}") for i, x in enumerate(raw)))
+
+
+def _event_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = event_rows(spark, sf_dir).select("event_id", "event_type", F.array(*(f"d{i}" for i in range(14))).alias("vector"))
+    return rows.where("event_id % 50 = 0").select(F.col("event_id").alias("query_id"), "vector"), rows.select(F.col("event_id").alias("ref_id"), "vector", (F.col("event_type") == "error").alias("is_fraud"))
+
+
+def _event_neighbours(strategy: str, k: int = 5):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return knn(*_event_sides(spark, sf_dir), k, strategy).withColumn("d2", _six(F.col("d2")))
+
+    return run
+
+
+def event_fraud_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze(*_event_sides(spark, sf_dir))
+
+
+def _with_refs(condition: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        queries, refs = _event_sides(spark, sf_dir)
+        return analyze(queries, refs.where(condition))
+
+    return run
+
+
+def testset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.set_statistics(event_fraud_score(spark, sf_dir))
+
+
+# embeddings
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+def _vector_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _vectors(spark, sf_dir)
+    return rows.where("ref_id % 50 = 0").select(F.col("ref_id").alias("query_id"), "vector"), rows.select("ref_id", "vector", (F.col("label") % 3 == 0).alias("is_fraud"))
+
+
+def _neighbours(k: int, strategy: str = "auto", only: str = "true"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return knn(*_vector_sides(spark, sf_dir), k, strategy, DIMS).withColumn("d2", _six(F.col("d2"))).where(only)
+
+    return run
+
+
+_VEC = "list_sum(list_transform(range(1, 65), lambda i: (CAST({a}[i] AS DOUBLE) - {b}[i]) * (CAST({a}[i] AS DOUBLE) - {b}[i])))"
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * {b}[i]))"
+
+
+def _knn_sql(k: int, only: str = "true") -> str:
+    return f"""WITH pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS ref_id, {_VEC.format(a="q.embedding", b="r.embedding")} AS d2, r.label % 3 = 0 AS is_fraud FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0
+), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, ref_id) AS rank FROM pairs QUALIFY rank <= {k})
+SELECT query_id, ref_id, floor(d2 * 1e6 + 0.5e0) / 1e6 AS d2, is_fraud, rank FROM best WHERE {only}"""
+
+
+_VOTES_SQL = _knn_sql(5).split("SELECT query_id, ref_id, floor")[0] + ", votes AS (SELECT query_id, count(*) AS total, CAST(sum(CASE WHEN is_fraud THEN 1 ELSE 0 END) AS BIGINT) AS frauds FROM best GROUP BY query_id) "
+
+
+def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, refs = _vector_sides(spark, sf_dir)
+    return vote(queries, knn(queries, refs, dims=DIMS))
+
+
+def fraud_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide(knn_vote(spark, sf_dir))
+
+
+def fraud_decision_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another threshold than the usual one."""
+    return decide(knn_vote(spark, sf_dir), 0.4)
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> Column:
+    return F.array(*map(F.lit, _vectors(spark, sf_dir).where("ref_id = 0").first()["vector"]))
+
+
+def _against_first(name: str, kernel):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _vectors(spark, sf_dir).select(F.col("ref_id").alias("vec_id"), _six(kernel(F.col("vector"), _first_vector(spark, sf_dir), DIMS)).alias(name))
+
+    return run
+
+
+def _against_first_sql(name: str, value: str) -> str:
+    return f"SELECT e.vec_id, floor(({value}) * 1e6 + 0.5e0) / 1e6 AS {name} FROM embeddings e, embeddings o WHERE o.vec_id = 0"
+
+
+def vector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select(F.col("ref_id").alias("vec_id"), _six(kernels.squared_norm(F.col("vector"), DIMS)).alias("norm2"))
+
+
+_CENTRES = """WITH d AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(i)),
+c AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM d GROUP BY label, i), g AS (SELECT d.label, d.vec_id, sum((d.x - c.m) * (d.x - c.m)) AS d2 FROM d JOIN c ON c.label = d.label AND c.i = d.i GROUP BY d.label, d.vec_id) """
+
+
+def centroid_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = aggregates.radii(_vectors(spark, sf_dir), "label", DIMS)
+    return rows.select("label", "n", _six(F.col("centre")[0]).alias("first_mean"), _six(F.col("radius")).alias("radius"))
+
+
+def farthest_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.farthest(_vectors(spark, sf_dir), "label", DIMS).select("label", F.col("ref_id").alias("vec_id"), _six(F.col("d2")).alias("d2"))
+
+
+def dim_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.spreads(_vectors(spark, sf_dir), "label", DIMS).select("label", F.col("dim").cast("bigint").alias("dim"), _six(F.col("spread")).alias("spread"))
+
+
+def hyperplane_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides of the plane between the first two vectors."""
+    rows = _vectors(spark, sf_dir)
+    pivots = {r["ref_id"]: F.array(*map(F.lit, r["vector"])) for r in rows.where("ref_id in (0, 1)").collect()}
+    return rows.groupBy(aggregates.side(F.col("vector"), pivots[0], pivots[1], DIMS).alias("first_side")).agg(F.count("*").alias("n"))
+
+
+def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halves = aggregates.median_halves(_vectors(spark, sf_dir), "label", F.col("vector")[0])
+    return halves.groupBy("label", "half").agg(F.count("*").alias("n"), _six(F.max(F.col("vector")[0])).alias("largest"))
+
+
+# parts of the rules
+
+
+def mcc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimension join: a small table of risks, the default for what it lacks."""
+    risks = spark.createDataFrame(sorted(EVENT_RISK.items()), "event_type string, risk double")
+    joined = _table(spark, sf_dir, "events").join(F.broadcast(risks), "event_type", "left")
+    return joined.groupBy("event_type").agg(F.max(F.coalesce("risk", F.lit(DEFAULT_RISK))).alias("risk"), F.count("*").alias("n"))
+
+
+def clamp_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", rounded(clamp(F.col("o_totalprice") / 400000)).alias("amount"))
+
+
+def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return _table(spark, sf_dir, "events").select("event_id", rounded(hour_of_day(ts)).alias("hour"), rounded(day_of_week(ts)).alias("weekday"))
+
+
+def minutes_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    last = F.lag(ts).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _table(spark, sf_dir, "events").select("event_id", F.coalesce(_six(minutes_between(last, ts)), F.lit(-1.0)).alias("minutes"))
+
+
+def known_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is this key among the keys of the user's first ten events?"""
+    e = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    known = e.withColumn("turn", turn).where("turn <= 10").groupBy("user_id").agg(F.collect_set("k").alias("known"))
+    return e.join(known, "user_id").select("event_id", unknown_merchant(F.col("known"), F.col("k")).alias("unknown"))
+
+
+def validation_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("balance is negative", below(F.col("c_acctbal"), 0)), ("segment is blank", blank(F.nullif(F.col("c_mktsegment"), F.lit("MACHINERY"))))]
+    rows = _table(spark, sf_dir, "customer").withColumn("errors", errors(rules)).where(F.size("errors") > 0)
+    return rows.select("c_custkey", F.concat_ws("; ", "errors").alias("errors"))
+
+
+def _order_payload() -> Column:
+    c = F.col
+    return F.struct(
+        F.concat(F.lit("tx-"), c("o_orderkey").cast("string")).alias("id"),
+        F.struct(c("o_totalprice").alias("amount"), (c("o_orderkey") % 12 + 1).cast("int").alias("installments"), c("o_orderdate").cast("timestamp").alias("requested_at")).alias("transaction"),
+        F.struct((c("o_totalprice") / 2).alias("avg_amount"), (c("o_custkey") % 20).cast("int").alias("tx_count_24h"), F.array(c("o_orderstatus")).alias("known_merchants")).alias("customer"),
+        F.struct(c("o_orderstatus").alias("id"), F.substring("o_orderpriority", 1, 1).alias("mcc"), F.lit(1.5).alias("avg_amount")).alias("merchant"),
+        F.struct((c("o_orderkey") % 2 == 0).alias("is_online"), (c("o_orderkey") % 2 != 0).alias("card_present"), c("o_custkey").cast("double").alias("km_from_home")).alias("terminal"),
+        F.when(c("o_orderkey") % 5 > 0, F.struct(c("o_orderdate").cast("timestamp").alias("timestamp"), F.lit(2.5).alias("km_from_current"))).alias("last_transaction"),
+    )
+
+
+def nested_payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "orders").select(payloads.to_text(_order_payload()).alias("value"))
+    rows = payloads.flat(payloads.parse_payloads(texts))
+    shown = {"timestamp": "yyyy-MM-dd HH:mm:ss"}
+    return rows.select(*(F.date_format(c, shown[t]).alias(c) if t in shown else F.concat_ws(",", c).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes))
+
+
+def installment_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.features import installment_value as value
+
+    rows = _table(spark, sf_dir, "orders").select(_order_payload().alias("p")).select("p.*")
+    return rows.select("id", _six(value()).alias("installment"))
+
+
+def payload_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.features import features
+
+    rows = _table(spark, sf_dir, "orders").select(_order_payload().cast(PAYLOAD).alias("p")).select("p.*")
+    return rows.select("id", *features())
+
+
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("toxic") == 1, F.when(F.col("doc_id") % 2 == 0, "FRAUD").otherwise("fraud")).otherwise("legit")
+    return _table(spark, sf_dir, "labels").select("doc_id", text.alias("label")).select("doc_id", "label", is_fraud(F.col("label")).cast("int").alias("is_fraud"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as results: approved is good quality, expected is not toxic, and every seventh request failed."""
+    return _table(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 7 != 0, F.col("quality") == 1).alias("approved"), (F.col("toxic") == 0).alias("expected_approved"))
+
+
+_CONFUSION = """SELECT count(*) FILTER (WHERE NOT a AND NOT e) AS tp, count(*) FILTER (WHERE a AND e) AS tn, count(*) FILTER (WHERE NOT a AND e) AS fp,
+count(*) FILTER (WHERE a AND NOT e) AS fn, count(*) FILTER (WHERE a IS NULL) AS err FROM (SELECT CASE WHEN doc_id % 7 <> 0 THEN quality = 1 END AS a, toxic = 0 AS e FROM labels)"""
+
+
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_results(spark, sf_dir))
+
+
+def p99_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.p99(_table(spark, sf_dir, "events"), "value").select(_six(F.col("p99")).alias("p99"))
+
+
+def detection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cases: the failures as counted, and without errors or false alarms."""
+    latency = evaluate.p99(_table(spark, sf_dir, "events"), "value").first()["p99"]
+    counts = confusion_matrix(spark, sf_dir).withColumn("p99", F.lit(latency))
+    both = counts.withColumn("case", F.lit("all")).unionByName(counts.withColumns({"case": F.lit("misses"), "fp": F.lit(0).cast("bigint"), "err": F.lit(0).cast("bigint")}))
+    rows = evaluate.detection_score(both)
+    return rows.select("case", "weighted_errors", *(_six(F.col(c)).alias(c) for c in ("epsilon", "failure_rate", "p99_score", "detection_score", "final_score")))
+
+
+_SCORE_SQL = f"""WITH c AS ({_CONFUSION}), b AS (SELECT 'all' AS "case", * FROM c UNION ALL SELECT 'misses', tp, tn, 0, fn, 0 FROM c),
+p AS (SELECT quantile_cont(value, 0.99) AS p99 FROM events),
+s AS (SELECT "case", fp + 3 * fn + 5 * err AS weighted_errors, CAST(fp + 3 * fn + 5 * err AS DOUBLE) / (tp + tn + fp + fn + err) AS epsilon, CAST(fp + fn + err AS DOUBLE) / (tp + tn + fp + fn + err) AS failure_rate FROM b),
+t AS (SELECT s.*, CASE WHEN p99 <= 0 THEN 0e0 WHEN p99 > 2000 THEN -3000e0 ELSE 1000 * log10(1000 / greatest(p99, 1e0)) END AS p99_score,
+CASE WHEN failure_rate > 0.15e0 THEN -3000e0 ELSE 1000 * log10(1 / greatest(epsilon, 0.001e0)) - 300 * log10(1 + weighted_errors) END AS detection_score FROM s, p)
+SELECT "case", weighted_errors, floor(epsilon * 1e6 + 0.5e0) / 1e6 AS epsilon, floor(failure_rate * 1e6 + 0.5e0) / 1e6 AS failure_rate, floor(p99_score * 1e6 + 0.5e0) / 1e6 AS p99_score,
+floor(detection_score * 1e6 + 0.5e0) / 1e6 AS detection_score, floor((p99_score + detection_score) * 1e6 + 0.5e0) / 1e6 AS final_score FROM t"""
+
+
+def ramp_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = spark.createDataFrame([(1, 30, 100), (2, 60, 400), (3, 120, 900)], "stage int, duration int, target int")
+    return evaluate.ramp(stages, 1).select("stage", "from_rate", "target", "requests", "cumulative")
+
+
+def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newer results replace older ones of the same customer."""
+    orders = _table(spark, sf_dir, "orders")
+    sums = lambda status: orders.where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("status", F.lit(status))
+    return evaluate.merge_results(sums("F"), sums("O"), ["o_custkey"])
+
+
+def file_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def generated_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = generate.generate_payloads(spark, 20_000, 42, 0.35)
+    return rows.groupBy("profile").agg(F.count("*").alias("n"), F.min("transaction.amount").alias("least"), F.max("transaction.amount").alias("most"), F.count_if(F.col("last_transaction").isNull()).alias("first_ones"))
+
+
+def generated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated payloads labelled by their neighbours among generated references."""
+    from ..operators.decide import score
+
+    return score(generate.generate_payloads(spark, 500, 4242, 0.47), generate.generate_references(spark, 20_000, 42, 0.35), strategy="keyed")
+
+
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from a stream of JSON files, in a folder that all machines share."""
+    from ..streaming.score import parquet_sink, score_stream
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    home = f"{base}/stream-{uuid.uuid4().hex}"
+    generate.generate_payloads(spark, 500, 4242, 0.47).drop("profile", "coin").write.option("ignoreNullFields", "false").json(f"{home}/in")
+    refs = generate.generate_references(spark, 20_000, 42, 0.35)
+    running = score_stream(payloads.stream_payloads(spark, f"{home}/in"), refs, parquet_sink(f"{home}/out"), f"{home}/state", strategy="keyed")
+    running.awaitTermination()
+    return spark.read.parquet(f"{home}/out").drop("batch")
+
+
+CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "knn_neighbors": (_neighbours(5), _knn_sql(5)),
+    "knn_brute": (_neighbours(5, "brute"), _knn_sql(5)),
+    "knn_k1": (_neighbours(1), _knn_sql(1)),
+    "knn_k10": (_neighbours(10), _knn_sql(10)),
+    "knn_self": (_neighbours(5, only="rank = 1"), _knn_sql(5, "rank = 1")),
+    "knn_vector_cells": (_neighbours(5, "cells"), _knn_sql(5)),
+    "knn_vector_boxes": (_neighbours(5, "boxes"), _knn_sql(5)),
+    "knn_vote": (knn_vote, _VOTES_SQL + "SELECT query_id, frauds, total FROM votes"),
+    "fraud_decision": (fraud_decision, _VOTES_SQL + "SELECT query_id, CAST(frauds AS DOUBLE) / total AS fraud_score, 5 * frauds < 3 * total AS approved FROM votes"),
+    "fraud_decision_at": (fraud_decision_at, _VOTES_SQL + "SELECT query_id, CAST(frauds AS DOUBLE) / total AS fraud_score, CAST(frauds AS DOUBLE) / total < 0.4e0 AS approved FROM votes"),
+    "vector_distance": (_against_first("distance", kernels.distance), _against_first_sql("distance", f"sqrt({_VEC.format(a='e.embedding', b='o.embedding')})")),
+    "vector_dot": (_against_first("dot", kernels.dot), _against_first_sql("dot", _DOT.format(a="e.embedding", b="o.embedding"))),
+    "vector_norm": (vector_norm, f"SELECT e.vec_id, floor({_DOT.format(a='e.embedding', b='e.embedding')} * 1e6 + 0.5e0) / 1e6 AS norm2 FROM embeddings e"),
+    "vector_manhattan": (_against_first("manhattan", kernels.manhattan), _against_first_sql("manhattan", "list_sum(list_transform(range(1, 65), lambda i: abs(CAST(e.embedding[i] AS DOUBLE) - o.embedding[i])))")),
+    "vector_cosine": (
+        _against_first("cosine", kernels.cosine_distance),
+        _against_first_sql("cosine", f"1 - {_DOT.format(a='e.embedding', b='o.embedding')} / sqrt({_DOT.format(a='e.embedding', b='e.embedding')} * {_DOT.format(a='o.embedding', b='o.embedding')})"),
+    ),
+    "event_features": (event_rows, EVENT_SQL + "SELECT * FROM f"),
+    "event_neighbors": (_event_neighbours("scan"), _event_knn_sql(5) + _EVENT_NEIGHBOURS),
+    "knn_keyed": (_event_neighbours("keyed"), _event_knn_sql(5) + _EVENT_NEIGHBOURS),
+    "knn_cells": (_event_neighbours("cells"), _event_knn_sql(5) + _EVENT_NEIGHBOURS),
+    "knn_boxes": (_event_neighbours("boxes"), _event_knn_sql(5) + _EVENT_NEIGHBOURS),
+    "event_fraud_score": (event_fraud_score, _event_knn_sql(5) + _DECIDED + "SELECT * FROM decided"),
+    "empty_refs": (_with_refs("false"), _event_knn_sql(5, "false") + _DECIDED + "SELECT * FROM decided"),
+    "few_refs": (_with_refs("ref_id < 3"), _event_knn_sql(5, "r.event_id < 3") + _DECIDED + "SELECT * FROM decided"),
+    "testset_stats": (
+        testset_stats,
+        _event_knn_sql(5) + _DECIDED + """SELECT total, fraud_count, legit_count, edge_case_count, floor(CAST(fraud_count AS DOUBLE) / total * 1e4 + 0.5e0) / 1e4 AS fraud_rate,
+floor(CAST(legit_count AS DOUBLE) / total * 1e4 + 0.5e0) / 1e4 AS legit_rate, floor(CAST(edge_case_count AS DOUBLE) / total * 1e4 + 0.5e0) / 1e4 AS edge_case_rate FROM (SELECT count(*) AS total,
+count(*) FILTER (WHERE NOT approved) AS fraud_count, count(*) FILTER (WHERE approved) AS legit_count, count(*) FILTER (WHERE abs(fraud_score - 0.6e0) < 1e-9) AS edge_case_count FROM decided)""",
+    ),
+    "centroid_radius": (centroid_radius, _CENTRES + "SELECT c.label, c.n, floor(c.m * 1e6 + 0.5e0) / 1e6 AS first_mean, floor(r.radius * 1e6 + 0.5e0) / 1e6 AS radius FROM c JOIN (SELECT label, max(sqrt(d2)) AS radius FROM g GROUP BY label) r ON r.label = c.label WHERE c.i = 1"),
+    "farthest_pivot": (farthest_pivot, _CENTRES + "SELECT label, vec_id, floor(d2 * 1e6 + 0.5e0) / 1e6 AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d2 DESC, vec_id) AS t FROM g) WHERE t = 1"),
+    "dim_spread": (dim_spread, _CENTRES.split("c AS (")[0].rstrip(", \n") + ", s AS (SELECT label, i, max(x) - min(x) AS spread FROM d GROUP BY label, i) SELECT label, i - 1 AS dim, floor(spread * 1e6 + 0.5e0) / 1e6 AS spread FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY spread DESC, i) AS t FROM s) WHERE t = 1"),
+    "hyperplane_partition": (hyperplane_partition, f"SELECT {_VEC.format(a='e.embedding', b='a.embedding')} <= {_VEC.format(a='e.embedding', b='b.embedding')} AS first_side, count(*) AS n FROM embeddings e, embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id = 1 GROUP BY 1"),
+    "median_split": (median_split, "SELECT label, half, count(*) AS n, floor(max(x) * 1e6 + 0.5e0) / 1e6 AS largest FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, ntile(2) OVER (PARTITION BY label ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS half FROM embeddings) GROUP BY label, half"),
+    "mcc_lookup": (mcc_lookup, "SELECT event_type, CASE event_type WHEN 'error' THEN 0.85e0 WHEN 'purchase' THEN 0.45e0 WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.1e0 ELSE 0.5e0 END AS risk, count(*) AS n FROM events GROUP BY event_type"),
+    "clamp_round": (clamp_round, "SELECT o_orderkey, floor((CASE WHEN o_totalprice < 0 THEN 0e0 WHEN o_totalprice > 400000 THEN 1e0 ELSE o_totalprice / 400000e0 END) * 1e4 + 0.5e0) / 1e4 AS amount FROM orders"),
+    "date_parts": (date_parts, "SELECT event_id, floor(extract(hour FROM ts) / 23e0 * 1e4 + 0.5e0) / 1e4 AS hour, floor((isodow(ts) - 1) / 6e0 * 1e4 + 0.5e0) / 1e4 AS weekday FROM events"),
+    "minutes_since_last": (minutes_since_last, "SELECT event_id, coalesce(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 6e7 * 1e6 + 0.5e0) / 1e6, -1e0) AS minutes FROM events"),
+    "known_merchant": (
+        known_merchant,
+        """WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events), s AS (SELECT DISTINCT user_id, k FROM e WHERE turn <= 10)
+SELECT e.event_id, CASE WHEN s.k IS NULL THEN 1e0 ELSE 0e0 END AS unknown FROM e LEFT JOIN s ON s.user_id = e.user_id AND s.k = e.k""",
+    ),
+    "validation_rejects": (
+        validation_rejects,
+        """SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'MACHINERY' THEN 'balance is negative; segment is blank' WHEN c_acctbal < 0 THEN 'balance is negative' ELSE 'segment is blank' END AS errors
+FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'MACHINERY'""",
+    ),
+    "nested_payload_roundtrip": (
+        nested_payload_roundtrip,
+        """SELECT 'tx-' || o_orderkey AS id, o_totalprice AS transaction_amount, CAST(o_orderkey % 12 + 1 AS INTEGER) AS transaction_installments, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS transaction_requested_at,
+o_totalprice / 2 AS customer_avg_amount, CAST(o_custkey % 20 AS INTEGER) AS customer_tx_count_24h, o_orderstatus AS customer_known_merchants, o_orderstatus AS merchant_id, substr(o_orderpriority, 1, 1) AS merchant_mcc,
+1.5e0 AS merchant_avg_amount, o_orderkey % 2 = 0 AS terminal_is_online, o_orderkey % 2 <> 0 AS terminal_card_present, CAST(o_custkey AS DOUBLE) AS terminal_km_from_home,
+CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS last_transaction_timestamp, CASE WHEN o_orderkey % 5 > 0 THEN 2.5e0 END AS last_transaction_km_from_current FROM orders""",
+    ),
+    "installment_value": (installment_value, "SELECT 'tx-' || o_orderkey AS id, floor(o_totalprice / (o_orderkey % 12 + 1) * 1e6 + 0.5e0) / 1e6 AS installment FROM orders"),
+    "payload_vectors": (
+        payload_vectors,
+        """WITH r AS (SELECT 'tx-' || o_orderkey AS id, o_totalprice / 10000e0 AS r0, (o_orderkey % 12 + 1) / 12e0 AS r1, o_totalprice / (o_totalprice / 2) / 10e0 AS r2, extract(hour FROM o_orderdate) / 23e0 AS r3,
+(isodow(o_orderdate) - 1) / 6e0 AS r4, CASE WHEN o_orderkey % 5 > 0 THEN 0e0 END AS r5, CASE WHEN o_orderkey % 5 > 0 THEN 2.5e0 / 1000e0 END AS r6, o_custkey / 1000e0 AS r7, (o_custkey % 20) / 20e0 AS r8,
+CASE WHEN o_orderkey % 2 = 0 THEN 1e0 ELSE 0e0 END AS r9, CASE WHEN o_orderkey % 2 <> 0 THEN 1e0 ELSE 0e0 END AS r10, 0e0 AS r11, 0.5e0 AS r12, 1.5e0 / 10000e0 AS r13 FROM orders) SELECT id, """
+        + EVENT_SQL.split("SELECT event_id, event_type, ")[-1].split(" FROM raw")[0] + " FROM r",
+    ),
+    "label_encode": (label_encode, "SELECT doc_id, CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'FRAUD' ELSE 'fraud' END ELSE 'legit' END AS label, toxic AS is_fraud FROM labels"),
+    "confusion_matrix": (confusion_matrix, _CONFUSION),
+    "p99_latency": (p99_latency, "SELECT floor(quantile_cont(value, 0.99) * 1e6 + 0.5e0) / 1e6 AS p99 FROM events"),
+    "detection_score": (detection_score, _SCORE_SQL),
+    "ramp_estimate": (
+        ramp_estimate,
+        """SELECT stage, from_rate, target, requests, CAST(sum(requests) OVER (ORDER BY stage) AS BIGINT) AS cumulative FROM (SELECT *, CAST(floor((from_rate + target) * duration / 2) AS BIGINT) AS requests
+FROM (VALUES (1, 30, 1, 100), (2, 60, 100, 400), (3, 120, 400, 900)) t(stage, duration, from_rate, target))""",
+    ),
+    "merged_results": (
+        merged_results,
+        """WITH o AS (SELECT o_custkey, count(*) AS n, 'O' AS status FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), f AS (SELECT o_custkey, count(*) AS n, 'F' AS status FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM o)""",
+    ),
+    "file_checksum": (file_checksum, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
+    "generated_stats": (generated_stats, None),
+    "generated_labels": (generated_labels, None),
+    "stream_score": (stream_score, None),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in CATALOGUE.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
