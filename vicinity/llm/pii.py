@@ -9,6 +9,11 @@ patterns with fewer than ``SUPPORT`` different instances have none. An instance'
 a seed, else that of its patterns together (noisy or). Candidates after a pattern of confidence
 ``ACCEPT`` or more become spans of kind ``context``.
 
+Numbers that stand side by side can run together into a match that is no card and no phone number. The
+shapes of seeds (their digits made one) are patterns for these: up to ``WORDS`` neighbouring words of
+such a run that have a shape of confidence ``ACCEPT``, and pass the test of its kind, are ``context``
+spans too.
+
 A null text counts as empty. Long texts are matched whole, by patterns that do not backtrack into
 what they have read. A null ``doc_id`` keeps its row. Repeated rows stay. An empty table gives none.
 Other columns are ignored. Positions are code points, ends exclusive.
@@ -16,7 +21,7 @@ Other columns are ignored. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -27,6 +32,7 @@ ROUNDS = 3
 #: Patterns that are few enough to be sent to all executors; more are joined by a shuffle.
 BROADCAST_PATTERNS = 10_000
 REACH = 64
+WORDS = 4
 
 # The base patterns. Possessive, and a look-behind so that a run that failed is not tried again from its middle.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -71,11 +77,22 @@ KINDS = (
     ("phone", PHONE, lambda t: t.contains("+"), lambda v: _n_digits(v, 9, 15)),
 )
 
+#: Kinds whose seeds have shapes to look for in runs of numbers.
+SHAPED = ("card", "phone")
+
 
 def _valid(spans: Column, test) -> Column:
     return F.filter(spans, lambda s: test(s["value"]))
 
 
+def _fails(test):
+    return lambda v: ~test(v) & (F.length(_digits(v)) >= 9)
+
+
+def _shape(value: Column) -> Column:
+    return F.regexp_replace(value, "[0-9]", "9")
+
+
 def _pattern(before: Column) -> Column:
     """The lexical pattern of what stands before: the last word, cue signs made one, numbers made one; null if none or cut."""
     word = F.regexp_extract(F.regexp_replace(before, CUE, "= "), r"(?:^|\s)(\S+)\s*$", 1)
@@ -83,12 +100,15 @@ def _pattern(before: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``h`` (hash of the text), one span array per kind, and ``candidates`` outside these."""
+    """``doc_id``, ``h`` (hash of the text), one span array per kind, ``candidates`` outside these, and ``runs``: long numbers that failed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.translate("text", "\x01", "\x02").alias("t"))  # the mark must not occur; it matches nothing either way
     text = F.col("t")
-    for kind, pattern, possible, valid in KINDS:
-        rows = rows.withColumn(kind, _valid(_matches(text, pattern, possible(text)), valid))
+    for kind, pattern, possible, _ in KINDS:
+        rows = rows.withColumn(kind, _matches(text, pattern, possible(text)))
+    rows = rows.withColumn("runs", F.concat(*(_valid(F.col(k), _fails(valid)) for k, _, _, valid in KINDS if k in SHAPED)))
+    for kind, _, _, valid in KINDS:
+        rows = rows.withColumn(kind, _valid(F.col(kind), valid))
     rows = rows.withColumn("base", F.concat(*(k[0] for k in KINDS)))
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
     return rows.withColumn("candidates", F.filter(_matches(text, CANDIDATE, text.rlike(CANDIDATE)), free)).drop("t", "base")
@@ -125,16 +145,56 @@ def scored_patterns(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return patterns
 
 
+def shaped(spans: DataFrame) -> DataFrame:
+    """``doc_id``, ``h``, ``s``: parts of failed runs that have the shape of many seeds and pass their kind's test."""
+    at = Window.partitionBy("doc_id", "h", "run").orderBy("pos")
+    base = F.transform(F.concat(*(k[0] for k in KINDS)), lambda b: F.struct(b["start"], b["stop"]))
+    runs = spans.where("size(runs) > 0").select("doc_id", "h", base.alias("base"), F.explode("runs").alias("s")).select("doc_id", "h", "base", F.col("s.start").alias("run"), F.col("s.value").alias("value"))
+    words = runs.dropDuplicates(["doc_id", "h", "run"]).select("doc_id", "h", "base", "run", F.posexplode(F.split("value", " ")))
+    before = F.coalesce(F.sum(F.length("col") + 1).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = words.select("doc_id", "h", "base", (F.col("run") + before).cast("int").alias("start"), F.array(*(F.lead("col", n).over(at) for n in range(WORDS))).alias("next"))
+    grams = F.array(*(F.when(F.col("next")[n].isNotNull(), F.concat_ws(" ", F.slice("next", 1, n + 1))) for n in range(WORDS)))
+    parts = placed.select("doc_id", "h", "base", "start", F.explode(F.array_compact(grams)).alias("value"))
+    parts = parts.withColumn("stop", F.col("start") + F.length("value")).withColumn("shape", _shape(F.col("value")))
+    parts = cut(parts.where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))).drop("base"))
+
+    def seeds(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value")))
+
+    known = spans.select(F.explode(F.concat(*map(seeds, SHAPED))).alias("s")).select("s.*").withColumn("shape", _shape(F.col("value"))).groupBy("kind", "shape", "value").agg(F.count("*").alias("n"))
+    shapes = known.groupBy("kind", "shape").agg(F.sum("n").alias("hits"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    valid = F.coalesce(*(F.when((F.col("kind") == k), test(F.col("value"))) for k, _, _, test in KINDS if k in SHAPED), F.lit(False))
+    found = parts.join(shapes, "shape").where(valid)
+    uses = found.groupBy("kind", "shape").agg(F.count("*").alias("others"))
+    good = shapes.join(uses, ["kind", "shape"]).where(F.col("hits") >= ACCEPT * (F.col("hits") + F.col("others"))).select("kind", "shape")
+    span = F.struct("start", "stop", "value", F.lit("").alias("before"))
+    return found.join(good, ["kind", "shape"]).select("doc_id", "h", span.alias("s"))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``h``, a span array per kind, and ``context``: spans that patterns of high confidence found."""
     spans = cut(base_spans(docs))
+    extra = shaped(spans)
     accepted = cut(scored_patterns(docs, spans).where(F.col("confidence") >= ACCEPT).select("pattern"))
-    if not accepted.limit(1).count():
-        return spans.withColumn("context", F.expr(f"cast(array() as array<{_SPAN}>)")).drop("candidates")
-    offered = spans.select("doc_id", "h", F.explode("candidates").alias("s")).withColumn("pattern", _pattern(F.col("s.before"))).join(accepted, "pattern")
-    extra = offered.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("s")).alias("context")).withColumnsRenamed({"doc_id": "d", "h": "g"})
-    joined = spans.drop("candidates").join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
-    return joined.withColumn("context", F.coalesce("context", F.expr(f"cast(array() as array<{_SPAN}>)")))
+    if accepted.limit(1).count():
+        offered = spans.select("doc_id", "h", F.explode("candidates").alias("s")).withColumn("pattern", _pattern(F.col("s.before")))
+        extra = extra.unionByName(offered.join(accepted, "pattern").select("doc_id", "h", "s"))
+    by_text = extra.groupBy("doc_id", "h").agg(F.collect_set("s").alias("found")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), _apart(F.col("found")).alias("context"))
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+    joined = spans.drop("candidates", "runs").join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
+    return joined.withColumn("context", F.coalesce("context", none))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans from left to right, of overlapping ones the first and of these the longest."""
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fits = s["start"] >= acc["at"]
+        return F.struct(F.when(fits, s["stop"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
 
 
 def listed(*kinds: str) -> Column:
