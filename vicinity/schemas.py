@@ -2,13 +2,20 @@
 
 from pyspark.sql import types as T
 
-PAYLOAD = T.StructType.fromDDL(
-    """id string,
-    transaction struct<amount: double, installments: int, requested_at: timestamp>,
-    customer struct<avg_amount: double, tx_count_24h: int, known_merchants: array<string>>,
-    merchant struct<id: string, mcc: string, avg_amount: double>,
-    terminal struct<is_online: boolean, card_present: boolean, km_from_home: double>,
-    last_transaction struct<timestamp: timestamp, km_from_current: double>"""
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_S, _D, _I, _B, _T = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
+
+PAYLOAD = _struct(
+    id=_S,
+    transaction=_struct(amount=_D, installments=_I, requested_at=_T),
+    customer=_struct(avg_amount=_D, tx_count_24h=_I, known_merchants=T.ArrayType(_S)),
+    merchant=_struct(id=_S, mcc=_S, avg_amount=_D),
+    terminal=_struct(is_online=_B, card_present=_B, km_from_home=_D),
+    last_transaction=_struct(timestamp=_T, km_from_current=_D),
 )
-REFERENCE_JSON = T.StructType.fromDDL("vector array<double>, label string")
-TEST_ENTRY = T.StructType([T.StructField("request", PAYLOAD), T.StructField("expected_approved", T.BooleanType()), T.StructField("expected_fraud_score", T.DoubleType())])
+REFERENCE_JSON = _struct(vector=T.ArrayType(_D), label=_S)
+TEST_ENTRY = _struct(request=PAYLOAD, expected_approved=_B, expected_fraud_score=_D)

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DIMENSIONS
 from ..functions.validation import errors, is_fraud, reference_rules
 from ..schemas import REFERENCE_JSON
 
 
-def read_reference_json(spark: SparkSession, path: str) -> DataFrame:
+def read_reference_json(spark: SparkSession, path: str, null_records: bool = False) -> DataFrame:
     """``ref_id`` (position in the file), ``vector``, ``label`` from one array or from JSON lines, plain or gzipped.
 
-    One array file is one task; write it to a store once and read that afterwards.
+    One array file is one task; write it to a store once and read that afterwards. Spark's reader
+    gives up on an array with a null among its records; ``null_records`` reads whole texts instead
+    and skips them, which holds each file in memory.
     """
-    rows = spark.read.schema(REFERENCE_JSON).option("multiLine", True).json(path)
-    return rows.where("vector is not null or label is not null").select(F.monotonically_increasing_id().alias("ref_id"), "vector", "label")
+    if null_records:
+        texts = spark.read.text(path, wholetext=True)
+        rows = texts.select(F.explode(F.from_json("value", T.ArrayType(REFERENCE_JSON))).alias("r")).where("r is not null").select("r.*")
+    else:
+        rows = spark.read.schema(REFERENCE_JSON).option("multiLine", True).json(path).where("vector is not null or label is not null")
+    return rows.select(F.monotonically_increasing_id().alias("ref_id"), "vector", "label")
 
 
 def encoded(references: DataFrame) -> DataFrame:
