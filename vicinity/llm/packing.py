@@ -5,6 +5,9 @@ on a Hilbert curve. The documents are range-sorted by that key, and each range i
 sequences of ``length`` tokens, so that neighbours on the curve share sequences. Only the last
 sequence of a range can be short; it is cut again into powers of two, which need no padding.
 
+Long documents are sorted in segments of ``SEGMENT`` tokens, as they lie close together on the curve:
+ranges of as many rows then have about as many tokens. Segments that meet in a sequence are one piece.
+
 A null text counts as empty and has one token, the end mark 0. A null ``doc_id`` keeps its row and
 sorts first. Ties on the curve go by ``doc_id``; repeated rows are packed each by itself. An empty
 table gives no pieces. Any other columns are ignored.
@@ -27,6 +30,7 @@ DIMENSIONS = 4
 BITS = 10
 BUCKETS = 256
 LENGTH = 1024
+SEGMENT = 2048
 
 
 @lru_cache(maxsize=2)
@@ -99,75 +103,94 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``ids`` (16-bit, with the end mark) and ``curve`` of every row."""
+    """``doc_id``, ``doc_tokens`` and ``curve`` of every row, with ``start`` and ``ids`` (16-bit, the end mark last) of its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encode(path)
         for b in pieces(batches, 500):
             ids = [np.array([*encode(t or ""), 0], "<u2") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(curve_keys(ids))], ["doc_id", "ids", "curve"])
+            at = [(row, start) for row, i in enumerate(ids) for start in range(0, len(i), SEGMENT)]
+            row, keys = np.array([r for r, _ in at], np.int64), curve_keys(ids)
+            sizes = np.array([len(i) for i in ids], np.int64)
+            parts = [ids[r][start : start + SEGMENT].tobytes() for r, start in at]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(sizes[row]), pa.array(keys[row]), pa.array([start for _, start in at], pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "doc_tokens", "curve", "start", "ids"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids binary, curve long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, doc_tokens long, curve long, start long, ids binary")
 
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def fill(rows: Iterator[tuple[int | None, np.ndarray]], length: int) -> Iterator[list[tuple]]:
-    """Sequences in order, each a list of (doc_id, start, ids, doc_tokens); the rest in powers of two."""
+def fill(rows: Iterator[tuple[int | None, int, int, np.ndarray]], length: int) -> Iterator[list[tuple]]:
+    """Sequences in order, each a list of (doc_id, doc_tokens, start, ids); the rest in powers of two."""
     room, held = length, []
-    for doc_id, ids in rows:
-        at = 0
-        while at < len(ids):
-            take = min(room, len(ids) - at)
-            held.append((doc_id, at, ids[at : at + take], len(ids)))
-            at, room = at + take, room - take
-            if not room:
+    for row in rows:
+        for part, room in _cut(row, room, length):
+            held.append(part)
+            if room == length:
                 yield held
-                room, held = length, []
+                held = []
     left = length - room
-    if not left:
-        return
     sizes = [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
+    if not sizes:
+        return
     room, short = sizes.pop(0), []
-    for doc_id, start, ids, n in held:
+    for doc_id, n, start, ids in held:
         at = 0
         while at < len(ids):
             take = min(room, len(ids) - at)
-            short.append((doc_id, start + at, ids[at : at + take], n))
+            short.append((doc_id, n, start + at, ids[at : at + take]))
             at, room = at + take, room - take
             if not room:
                 yield short
                 room, short = sizes.pop(0) if sizes else 0, []
 
 
+def _cut(row: tuple, room: int, length: int) -> Iterator[tuple[tuple, int]]:
+    """The parts of a row that go to this sequence and the next ones, with the room each leaves (``length`` once full)."""
+    doc_id, n, start, ids = row
+    at = 0
+    while at < len(ids):
+        take = min(room, len(ids) - at)
+        part = (doc_id, n, start + at, ids[at : at + take])
+        at, room = at + take, room - take or length
+        yield part, room
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row per piece of a document: where it starts there, and where it lies in which sequence."""
     if length < 1:
         raise ValueError("length must be positive")
-    sorted_docs = cut(tokenized(docs, path)).repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    order = ("curve", "doc_id", "start")
+    sorted_docs = cut(tokenized(docs, path)).repartitionByRange(*order).sortWithinPartitions(*order)
+    names = ("doc_id", "doc_tokens", "start", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
 
-        def rows() -> Iterator[tuple[int | None, np.ndarray]]:
+        def rows() -> Iterator[tuple[int | None, int, int, np.ndarray]]:
             for b in pieces(batches, 1000):
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                    yield doc_id, np.frombuffer(ids, "<u2")
+                for doc_id, n, start, ids in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                    yield doc_id, n, start, np.frombuffer(ids, "<u2")
 
         out: list[tuple] = []
         for held in fill(rows(), length):
-            offset = 0
-            for doc_id, start, ids, n in held:
-                out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, sequence, offset))
-                offset += len(ids)
+            offset, first = 0, len(out)
+            for doc_id, n, start, ids in held:
+                data, size = ids.astype("<u4").tobytes(), len(ids)
+                if len(out) > first and out[-1][0] == doc_id and out[-1][1] + out[-1][2] == start:  # the next segment
+                    _, begin, before, crc, *_, at = out.pop()
+                    out.append((doc_id, begin, before + size, zlib.crc32(data, crc), n, sequence, at))
+                else:
+                    out.append((doc_id, start, size, zlib.crc32(data), n, sequence, offset))
+                offset += size
             sequence += 1
             if len(out) >= 20_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    return sorted_docs.select("doc_id", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
+    return sorted_docs.select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
