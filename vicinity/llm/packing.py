@@ -28,7 +28,7 @@ from .common import cut, pieces
 
 DIMENSIONS = 4
 BITS = 10
-BUCKETS = 256
+BUCKET_BITS = 10
 LENGTH = 1024
 SEGMENT = 2048
 
@@ -88,14 +88,14 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _projection() -> np.ndarray:
-    return np.random.default_rng(0).standard_normal((BUCKETS, DIMENSIONS))
+    return np.random.default_rng(0).standard_normal((1 << BUCKET_BITS, DIMENSIONS))
 
 
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of token lists: hashed counts, square roots, unit length, projection, grid."""
     if not ids:
         return np.zeros(0, np.int64)
-    counts = np.stack([np.bincount(i.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24), minlength=BUCKETS) for i in ids])
+    counts = np.stack([np.bincount(i.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(32 - BUCKET_BITS), minlength=1 << BUCKET_BITS) for i in ids])
     vectors = np.sqrt(counts)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     grid = np.clip((vectors @ _projection() + 4) * ((1 << BITS) / 8), 0, (1 << BITS) - 1)
