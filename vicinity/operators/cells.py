@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import squared_distance
-from .knn import best, distances
+from .knn import NEIGHBOUR_SCHEMA, Best, best, distances
 
 #: Rows that the shape of the cells is learnt from, and the most cells there may be; both bound what goes to all tasks.
 SAMPLE = 20_000
 MOST_CELLS = 2048
+#: Rows of a cell that one task compares; larger cells, as of many equal vectors, are dealt out to several.
+PART = 16_384
 SLACK = 1e-9
 
 
@@ -135,5 +137,15 @@ def search(queries: DataFrame, index: Index, k: int, dims: int) -> DataFrame:
     if not len(sizes):
         return best(queries.select("query_id", F.lit(0).cast("long").alias("ref_id"), F.lit(0.0).alias("d2"), F.lit(False).alias("is_fraud")).where("false"), k)
     wanted = queries.selectExpr("query_id", "cast(vector as array<double>) vector").mapInArrow(run, f"query_id {kind}, q array<double>, cell_id long")
-    pairs = wanted.join(index.rows, "cell_id").select("query_id", "ref_id", squared_distance(F.col("q"), F.col("vector"), dims).alias("d2"), "is_fraud")
-    return best(pairs, k)
+    parts = index.cells.select("cell_id", F.ceil(F.col("n") / PART).alias("parts"))
+    dealt = wanted.join(F.broadcast(parts), "cell_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("query_id", "q", "cell_id", "part")
+    rows = index.rows.join(F.broadcast(parts), "cell_id").withColumn("part", F.pmod(F.xxhash64("ref_id"), "parts")).select("ref_id", "vector", "is_fraud", "cell_id", "part")
+
+    def compare(some: pa.Table, among: pa.Table) -> pa.Table:
+        matrix = lambda column: np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+        near = Best(matrix(some.column("q")), k)
+        near.add(matrix(among.column("vector")), np.asarray(among.column("ref_id"), np.int64), np.asarray(among.column("is_fraud").to_pylist(), bool))
+        return pa.Table.from_batches([near.batch(some.column("query_id").combine_chunks())])
+
+    grouped = dealt.groupBy("cell_id", "part").cogroup(rows.groupBy("cell_id", "part"))
+    return best(grouped.applyInArrow(compare, NEIGHBOUR_SCHEMA.format(id=kind)), k)

@@ -31,7 +31,7 @@ from ..functions.kernels import squared_distance
 #: Queries that are sent to all tasks at once.
 BLOCK = 4096
 #: References compared with a block at a time.
-BATCH = 2048
+BATCH = 1024
 NEIGHBOUR_SCHEMA = "query_id {id}, ref_id long, d2 double, is_fraud boolean"
 STRATEGIES = ("scan", "brute", "keyed", "cells", "boxes")
 
@@ -55,7 +55,7 @@ def brute(queries: DataFrame, refs: DataFrame, k: int, dims: int) -> DataFrame:
 
 
 def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Squared distances (queries, references), added dimension by dimension."""
+    """Squared distances of every row of ``q`` and ``r``, added dimension by dimension."""
     total = np.zeros((len(q), len(r)))
     for d in range(q.shape[1]):
         gap = q[:, d, None] - r[None, :, d]
@@ -63,14 +63,53 @@ def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return total
 
 
-def _nearest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances and positions of each query's k best of these references, ties by id."""
-    total = distances(q, r)
-    if total.shape[1] > k:
-        edge = np.partition(total, k - 1, axis=1)[:, k - 1 : k]
-        total = np.where(total <= edge, total, np.inf)
-    order = np.lexsort((np.broadcast_to(ids, total.shape), total))[:, :k]
-    return np.take_along_axis(total, order, 1), order
+#: Relative error allowed for products in place of sums of squares; far above what 64-bit floats make.
+SLACK = 1e-9
+
+
+class Best:
+    """The k nearest of all references added so far, for a matrix of queries.
+
+    Distances are first estimated by a matrix product. Pairs that an estimate, less its error, puts
+    within the k-th distance known are computed exactly, in the fixed order; ties go by id.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.norms = (queries * queries).sum(1)
+        self.worst = np.full(len(queries), np.inf)
+        self.query, self.d2, self.ref, self.fraud = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, vectors: np.ndarray, ids: np.ndarray, fraud: np.ndarray, only: np.ndarray | None = None) -> None:
+        """References for all queries, or for those at the positions ``only``."""
+        for start in range(0, len(vectors), BATCH):
+            part = slice(start, start + BATCH)
+            self._add(vectors[part], ids[part], fraud[part], np.arange(len(self.queries)) if only is None else only)
+
+    def _add(self, r: np.ndarray, ids: np.ndarray, fraud: np.ndarray, only: np.ndarray) -> None:
+        if not len(only) or not len(r):
+            return
+        size = self.norms[only][:, None] + (r * r).sum(1)
+        guess = size - 2 * (self.queries[only] @ r.T)
+        worst = self.worst[only]
+        if len(r) > self.k and np.isinf(worst).any():
+            worst = np.minimum(worst, np.partition(guess + SLACK * (1 + size), self.k - 1, axis=1)[:, self.k - 1])
+        at, ref = np.nonzero(guess - SLACK * (1 + size) <= worst[:, None])
+        who, d2 = only[at], np.zeros(len(at))
+        for d in range(r.shape[1]):
+            gap = self.queries[who, d] - r[ref, d]
+            d2 += gap * gap
+        query, d2, ids, fraud = (np.concatenate(p) for p in ((self.query, who), (self.d2, d2), (self.ref, ids[ref]), (self.fraud, fraud[ref])))
+        order = np.lexsort((ids, d2, query))
+        first = np.searchsorted(query[order], query[order])
+        kept = order[np.arange(len(order)) - first < self.k]
+        self.query, self.d2, self.ref, self.fraud = query[kept], d2[kept], ids[kept], fraud[kept]
+        n = np.bincount(self.query, minlength=len(self.queries))
+        full = np.flatnonzero(n == self.k)
+        self.worst[full] = self.d2[np.cumsum(n)[full] - 1]
+
+    def batch(self, names: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names.take(pa.array(self.query)), pa.array(self.ref), pa.array(self.d2), pa.array(self.fraud)], ["query_id", "ref_id", "d2", "is_fraud"])
 
 
 def _keys(v: np.ndarray) -> np.ndarray:
@@ -95,27 +134,16 @@ def scan(queries: DataFrame, refs: DataFrame, k: int, dims: int, keyed: bool = F
         ids, matrix = sent.column("query_id"), _matrix(sent.column("vector"), dims)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            groups = [np.arange(len(matrix))]
-            if keyed:
-                groups = [np.flatnonzero(_keys(matrix) == key) for key in np.unique(_keys(matrix))]
-            size = (len(matrix), 0)
-            d2, ref, fraud = np.empty(size), np.empty(size, np.int64), np.empty(size, bool)
-            for whole in batches:
-                for start in range(0, whole.num_rows, BATCH):
-                    b = whole.slice(start, BATCH)
-                    r, r_ids, r_fraud = _matrix(b.column("vector"), dims), b.column("ref_id").to_numpy(zero_copy_only=False), np.asarray(b.column("is_fraud").to_pylist(), bool)
-                    new = (np.full((len(matrix), k), np.inf), np.full((len(matrix), k), np.iinfo(np.int64).max), np.zeros((len(matrix), k), bool))
-                    r_keys = _keys(r) if keyed else None
-                    for g in groups:
-                        among = np.flatnonzero(r_keys == _keys(matrix[g[:1]])[0]) if keyed else np.arange(len(r))
-                        if len(among) and len(g):
-                            near, at = _nearest(matrix[g], r[among], r_ids[among], k)
-                            new[0][g, : near.shape[1]], new[1][g, : near.shape[1]], new[2][g, : near.shape[1]] = near, r_ids[among][at], r_fraud[among][at]
-                    both = [np.concatenate(p, axis=1) for p in zip((d2, ref, fraud), new, strict=True)]
-                    order = np.lexsort((both[1], both[0]))[:, :k]
-                    d2, ref, fraud = (np.take_along_axis(x, order, 1) for x in both)
-            q, at = np.nonzero(np.isfinite(d2))
-            yield pa.RecordBatch.from_arrays([ids.combine_chunks().take(pa.array(q)), pa.array(ref[q, at]), pa.array(d2[q, at]), pa.array(fraud[q, at])], ["query_id", "ref_id", "d2", "is_fraud"])
+            near = Best(matrix, k)
+            by_key = {key: np.flatnonzero(_keys(matrix) == key) for key in np.unique(_keys(matrix))} if keyed else {}
+            for b in batches:
+                r, r_ids, fraud = _matrix(b.column("vector"), dims), b.column("ref_id").to_numpy(zero_copy_only=False), np.asarray(b.column("is_fraud").to_pylist(), bool)
+                if not keyed:
+                    near.add(r, r_ids, fraud)
+                for key, only in by_key.items():
+                    among = _keys(r) == key
+                    near.add(r[among], r_ids[among], fraud[among], only)
+            yield near.batch(ids.combine_chunks())
 
         found.append(refs.select("ref_id", "vector", "is_fraud").mapInArrow(run, schema))
     return best(reduce(DataFrame.unionAll, found), k)
