@@ -10,7 +10,7 @@ from vicinity.llm import spotsigs
 
 def test_signatures_and_likeness():
     a, b = spotsigs.signatures("The cat sat of mats and the dog ran"), spotsigs.signatures("the CAT, sat")
-    assert len(a) == 3 and len(b) == 1 and spotsigs.likeness(a, b) == 1 / 3
+    assert len(a) == 4 and len(b) == 1 and spotsigs.likeness(a, b) == 1 / 4
     assert spotsigs.likeness(a, b, 0.5) == 0.0 and spotsigs.likeness(a, a, 0.9) == 1.0
     assert (spotsigs.read(spotsigs.show(a)) == a).all()
     for text in ("", " .", "word", "no anchor words here", "the", "the x"):
