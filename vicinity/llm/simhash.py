@@ -18,13 +18,13 @@ there is no other). Repeated rows stay. Any other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pieces
@@ -142,9 +142,12 @@ def links(fps: DataFrame) -> DataFrame:
     return shards.select("fps").mapInArrow(run, "a long, b long")
 
 
-def grouped(marked: DataFrame) -> DataFrame:
-    """``fp``, ``component`` (the least fingerprint reached) and ``least`` (the least document id with ``fp``)."""
-    named = components(links(marked.select("fp").distinct())).withColumnRenamed("node", "fp")
+def grouped(marked: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``fp``, ``component`` (the least fingerprint reached) and ``least`` (the least document id with ``fp``).
+
+    Fingerprints are connected by ``edges``, or else by ``links``.
+    """
+    named = components(links(marked.select("fp").distinct()) if edges is None else edges).withColumnRenamed("node", "fp")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     return cut(least.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
 
@@ -158,21 +161,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def id_or_last(name: str) -> Column:
+    """The id as a long; a null one comes after all others."""
+    return F.coalesce(F.col(name).cast("long"), F.lit((1 << 63) - 1))
+
+
+def keep_one(docs: DataFrame, mark: Callable[[bytes], int] = fingerprint, group: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns.
 
     It is a row with the component's least id (rows without an id come last), then with the least
-    fingerprint; of repeated rows, one.
+    fingerprint; of repeated rows, one. ``mark`` is the fingerprint of a text; ``group`` makes of
+    ``docs`` what ``grouped`` makes of fingerprints.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1000):
-            fp = np.array([fingerprint((t or "").encode()) for t in b.column("text").to_pylist()], np.uint64).astype(np.int64)
+            fp = np.array([mark((t or "").encode()) for t in b.column("text").to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.mapInArrow(run, f"{kept}, __fp long").withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    named = grouped(cut(fingerprints(docs)))
-    first = named.groupBy("component").agg(F.min(F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("id"), "fp")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp"))
+    rows = docs.mapInArrow(run, f"{kept}, __fp long").withColumn("__id", id_or_last("doc_id"))
+    named = group(docs) if group else grouped(cut(fingerprints(docs)))
+    first = named.groupBy("component").agg(F.min(F.struct(id_or_last("least").alias("id"), "fp")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp"))
     turn = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("__id"))
     return rows.join(first, ["__id", "__fp"], "left_semi").withColumn("__turn", turn).where("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
