@@ -78,7 +78,6 @@ def test_packing(spark, length):
     docs = docs_of(spark)
     out = packing.pack(docs, JSON, length).collect()
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(TEXTS) if i != 1} | {None: [*tokenizer.encode("a b", add_special_tokens=False).ids, 0]}
     rows = {}
     for r in out:
@@ -102,6 +101,18 @@ def test_packing(spark, length):
         assert at <= length and not at & (at - 1)
 
 
+def test_equal_rows_can_go_to_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 100)
+    docs = spark.createDataFrame([(None, "the same words in every row of this table", "")] * 200, "doc_id long, text string, ids string")
+    out = packing.pack(docs, JSON, 16).collect()
+    assert len({r.sequence_id >> 40 for r in out}) > 5 and sum(r.length for r in out) == 200 * out[0].doc_tokens
+
+
+def test_added_tokens_are_those_of_the_library():
+    ids = packing._encode(JSON)("a <|endoftext|> b")
+    assert ids == Tokenizer.from_file(JSON).encode("a <|endoftext|> b", add_special_tokens=False).ids and 50256 in ids
+
+
 def test_packing_nothing(spark):
     assert packing.pack(docs_of(spark).where("false"), JSON).count() == 0
     with pytest.raises(ValueError):
