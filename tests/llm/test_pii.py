@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from vicinity.llm import pii
 
@@ -83,6 +84,112 @@ def test_numbers_that_run_together(spark):
     assert found[100].spans == "context:2:19,context:20:36" and found[101].spans == "context:0:17"
 
 
+def planted(n=60):
+    """Secrets after cues that no e-mail address, IP address, card or phone number ever follows, and decoys in prose."""
+    rng = random.Random(8)
+    hexed = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    prose = lambda k: " ".join(rng.choice(["the", "and", "of", "word", "then", "is"]) for _ in range(k))
+
+    def card():
+        while True:
+            value = "4" + "".join(rng.choice("0123456789") for _ in range(15))
+            if luhn(value):
+                return value
+
+    rows, secrets = [], {}
+    for i in range(n):
+        rows.append((i, f"{prose(9)} {card()} {prose(6)}"))
+        value = "a1" + hexed(38 if i % 2 else 198)
+        text = f'{prose(5)} SECRET = "{value}"{prose(5)}' if i % 3 else f"{prose(5)} api key is: {value} {prose(5)}"
+        rows.append((1000 + i, text))
+        secrets[1000 + i] = text.index(value), text.index(value) + len(value)
+        rows.append((2000 + i, f"{prose(4)} the version 2.{i} of {prose(4)} part{i}b {prose(3)} 4{'1' * 14}{i % 9} and"))
+    odd = f"{prose(4)} SECRET = 'zq{'7k' * 100}' {prose(3)}"  # of another class than all others
+    rows.append((3000, odd))
+    secrets[3000] = odd.index("zq7"), odd.index("zq7") + 202
+    return rows, secrets
+
+
+def brute_confidences(rows):
+    """The graph's scores in plain Python, from the definition."""
+    normal = lambda t: re.sub("[0-9]+", "0", re.sub(pii.CUE, "= ", t)).lower()
+    seeds, edges, members = set(), Counter(), {}
+    shape = lambda v: "hex" if re.fullmatch("[0-9a-f]{12,}", v) else "long" if re.fullmatch("[a-z0-9_+/-]{16,}", v) else re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "0", v))
+    for text in rows:
+        base = [s for spans in plain(text).values() for s in spans]
+        found = [(m.start() + len(m[0]) - len(m[0].lstrip("._@%+-")), m[0].strip("._@%+-")) for m in re.finditer(pii.CANDIDATE, text)]
+        found = [(a, a + len(v)) for a, v in found if len(v) >= 4 and not any(b < a + len(v) and a < c for b, c in base)]
+        for a, b in base + found:
+            value = text[a:b].lower()
+            members.setdefault(shape(value), set()).add(value)
+            if (a, b) in base:
+                seeds.add(value)
+            left, right = normal(text[:a]), re.sub(r"^\S+", "", normal(text[b:])).split()
+            if not re.search(r"\s$", left):
+                continue
+            left = left.split()
+            names = [left[-1]] + ([" ".join(left[-2:])] if len(left) > 1 else []) + ([f"{left[-1]} _ {right[0]}"] if right else [])
+            for p in names:
+                edges[p, value] += 1
+    support = Counter(p for p, _ in edges)
+    edges = {e: n for e, n in edges.items() if support[e[0]] >= pii.SUPPORT}
+    uses = Counter()
+    for text in rows:
+        w = normal(text).split()
+        for i in range(len(w)):
+            uses.update([w[i]] + ([f"{w[i - 1]} {w[i]}"] if i else []) + ([f"{w[i]} _ {w[i + 2]}"] if i + 2 < len(w) else []))
+    best = dict.fromkeys({v for _, v in edges}, 0.0)
+    for turn in range(pii.ROUNDS):
+        known = seeds | {v for v, b in best.items() if b >= pii.ACCEPT}
+        share = {c: len(m & known) / len(m) for c, m in members.items()}
+        belief = {v: 1.0 if v in known else 1 - (1 - share[shape(v)]) * (1 - b) for v, b in best.items()}
+        scores = {p: min(1.0, sum(n * belief[v] for (q, v), n in edges.items() if q == p) / uses[p]) for p in {p for p, _ in edges}}
+        best = {v: max(scores[p] for p, w in edges if w == v) for v in best}
+    return scores
+
+
+def test_graph_against_brute_force(spark):
+    rows, _ = planted(30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.pattern: r.confidence for r in pii.scored_patterns(docs, pii.base_spans(docs)).collect()}
+    expected = brute_confidences([t for _, t in rows])
+    assert set(found) == set(expected) and all(abs(found[p] - c) < 1e-9 for p, c in expected.items())
+    assert found["secret="] > 0.9 and found["the"] < 0.1
+
+
+def test_identifiers_that_no_seed_stands_beside(spark):
+    """Recall and precision of what the graph alone finds: spans of kind ``context``, none of them a base span."""
+    rows, secrets = planted()
+    found = {r.doc_id: r.spans for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    spans = {(d, *map(int, s.split(":")[1:])) for d, listed in found.items() for s in listed.split(",") if s.startswith("context")}
+    right = {(d, *s) for d, s in secrets.items()}
+    assert len(spans & right) >= 0.9 * len(right) and len(spans & right) >= 0.95 * len(spans)
+
+
+def test_many_groups_and_many_matches(spark):
+    rows = [(i, f"call +33 1 4{i} 68 53 0{i % 9} now {'the ' * i}") for i in range(9)] + [(100, "x +33 1 42 68 53 00 4111111111111111 y"), (101, "a@b.c " * 60_000)]
+    found = {r.doc_id: r for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert found[100].spans == "context:2:19" and found[101].n_email == 60_000
+    assert found[101].spans.endswith(f"email:{6 * 59_999}:{6 * 59_999 + 5}")
+
+
+def test_masking_long_texts_and_clashing_columns(spark):
+    text = "".join(f"é{i} user{i}@mail.com " + "wörd \U0001f600 " * (i % 40) for i in range(900)) + "."
+    rows = [(1, text, "keep", 7), (1, text, "keep", 7), (None, None, "a@b.c", None), (2, "", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars int").selectExpr("doc_id", "text", "spans", "spans as row", "spans as changed", "spans as context", "spans as h", "n_chars")
+    masked = pii.mask(docs)
+    assert masked.schema == docs.schema
+    expected, at = "", 0
+    for a, b in plain(text)["email"]:
+        expected, at = expected + text[at:a] + "[EMAIL]", b
+    expected += text[at:]
+    found = masked.collect()
+    long = [r for r in found if r.doc_id == 1]
+    assert len(long) == 2 and all(r.text == expected and r.n_chars == len(expected) and r.row == r.spans == r.context == "keep" for r in long)
+    assert {(r.doc_id, r.text, r.spans, r.n_chars) for r in found if r.doc_id != 1} == {(None, None, "a@b.c", None), (2, "", None, 1)}
+    assert pii.mask(docs.where("false")).count() == 0
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.report(pii.find(corpus(spark)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

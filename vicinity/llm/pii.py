@@ -1,22 +1,32 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped context. DataFrame functions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. They are the seeds: the word
-before a seed, with signs such as ``=`` or ``:`` after it made one, is a lexical pattern. Tokens with
-a digit in them that are no base span are candidate instances, with patterns of their own. The graph
-of patterns and instances is scored in ``ROUNDS`` rounds. A pattern's confidence is the share of its
-uses in the whole corpus that lead to an instance, each instance weighted by its own confidence;
-patterns with fewer than ``SUPPORT`` different instances have none. An instance's confidence is 1 for
-a seed, else that of its patterns together (noisy or). Candidates after a pattern of confidence
-``ACCEPT`` or more become spans of kind ``context``.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. They are the seeds. Tokens with
+a digit in them that are no base span are candidates. Seeds and candidates are instances of a graph
+with two other sorts of nodes:
+
+* lexical patterns: the word before an instance, the two words before it, and the words on both sides,
+  with signs such as ``=`` or ``:`` made one and numbers made one;
+* classes of characters: hexadecimal runs, long mixed runs, else the sequence of letters, numbers and signs.
+
+The graph is scored in ``ROUNDS`` rounds. A class passes on the share of its different instances that are
+known, a pattern its confidence: the share of its uses in the whole corpus that lead to an instance, each
+weighted by the instance's belief; patterns with fewer than ``SUPPORT`` different instances have none. An
+instance is known, with belief 1, if it is a seed or follows a pattern of confidence ``ACCEPT`` or more
+(so what was found is a seed of the next round); else its belief is that of its class and its best pattern
+together (noisy or). So seeds reach contexts in which no seed ever stands, if what stands there is made of
+the same characters and stands there nearly always; in running prose confidence stays near nothing.
+Candidates at a pattern of confidence ``ACCEPT`` or more become spans of kind ``context``; of these, values of
+``LONG`` characters or more are spans wherever they stand.
 
 Numbers that stand side by side can run together into a match that is no card and no phone number. The
-shapes of seeds (their digits made one) are patterns for these: up to ``WORDS`` neighbouring words of
-such a run that have a shape of confidence ``ACCEPT``, and pass the test of its kind, are ``context``
-spans too.
-
-A null text counts as empty. Long texts are matched whole, by patterns that do not backtrack into
-what they have read. A null ``doc_id`` keeps its row. Repeated rows stay. An empty table gives none.
-Other columns are ignored. Positions are code points, ends exclusive.
+shapes of seeds (their digits made one) are patterns for these: neighbouring words of such a run, as many
+as the longest of these shapes has, that have a shape of confidence ``ACCEPT``, and pass the test of its
+kind, are ``context`` spans too.
+
+A null text counts as empty. Long texts and long tokens are matched whole, by patterns that do not
+backtrack into what they have read; positions take time in proportion to the text. A null ``doc_id`` keeps
+its row. Repeated rows stay. An empty table gives none. Other columns are ignored, or kept as they are by
+``mask``, whatever their names. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -28,11 +38,17 @@ from .common import cut
 
 SUPPORT = 5
 ACCEPT = 0.5
-ROUNDS = 3
+ROUNDS = 4
+#: Characters of a value that is taken for an identifier outside its context too.
+LONG = 12
 #: Patterns that are few enough to be sent to all executors; more are joined by a shuffle.
-BROADCAST_PATTERNS = 10_000
-REACH = 64
-WORDS = 4
+BROADCAST_PATTERNS = 50_000
+#: Matches whose positions are added up one by one; more are taken in blocks of as many.
+BLOCK = 256
+#: Characters of the blocks in which a text is masked.
+TEXT_BLOCK = 4096
+#: Pieces of the text beside a match, cut at spaces, from which its neighbouring words are taken.
+BESIDE = 12
 
 # The base patterns. Possessive, and a look-behind so that a run that failed is not tried again from its middle.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -42,23 +58,50 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _ID = "A-Za-z0-9._@%+-"
-CANDIDATE = rf"(?<![{_ID}])(?=[A-Za-z._@%+-]{{0,40}}[0-9])[A-Za-z0-9](?:[{_ID}]{{2,62}}[A-Za-z0-9])(?![A-Za-z0-9@%+_])"
+CANDIDATE = rf"(?<![{_ID}])(?=[A-Za-z._@%+-]*+[0-9])[{_ID}]++"
+_TRIM = "._@%+-"
 _CUE = r"=:#\"'(<\["
 CUE = rf"(?<!\s)\s*+[{_CUE}]++[\s{_CUE}]*+"
-_SPAN = "struct<start:int,stop:int,value:string,before:string>"
+_SPAN = "struct<start:int,stop:int,value:string,before:string,after:string>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
-    """Leftmost non-overlapping matches as array<start, stop, value, before>, where ``possible`` holds."""
+    """Leftmost non-overlapping matches as array<start, stop, value, before, after>, where ``possible`` holds."""
     parts = F.split(F.regexp_replace(text, f"({pattern})", "\x01$1\x01"), "\x01", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit("").alias("before"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        stop = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), stop.alias("stop"), part.alias("value"), acc["before"].alias("before"))
-        return F.struct(stop.alias("at"), (~acc["hit"]).alias("hit"), F.substring(part, -REACH, REACH).alias("before"), F.when(acc["hit"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def matched(parts: Column) -> Column:
+        one = lambda j: F.struct(parts[2 * j - 2].alias("gap"), parts[2 * j - 1].alias("hit"), parts[2 * j].alias("next"))
+        return F.transform(F.sequence(F.lit(1), (F.size(parts) / 2).cast("int")), one)
+
+    def blocks(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(found, b * BLOCK + 1, BLOCK))
+
+    def starts(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, m: n + F.length(m["gap"]) + F.length(m["hit"])))
+        first = F.struct(F.lit(0).alias("at"), _none("int").alias("out"))
+        return F.aggregate(sizes, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
-    return F.when(possible, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    def placed(block: Column, at: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            start = acc["at"] + F.length(m["gap"])
+            stop = start + F.length(m["hit"])
+            beside = F.substring_index(m["gap"], " ", -BESIDE).alias("before"), F.substring_index(m["next"], " ", BESIDE).alias("after")
+            return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), m["hit"].alias("value"), *beside)).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), _none(_SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    in_blocks = lambda p: F.flatten(_let(_let(matched(p), blocks), lambda b: F.zip_with(b, starts(b), placed)))
+    spans = _let(parts, lambda p: F.when(F.size(p) > 1, in_blocks(p)))
+    return F.coalesce(F.when(possible, spans), _none(_SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -93,108 +136,176 @@ def _shape(value: Column) -> Column:
     return F.regexp_replace(value, "[0-9]", "9")
 
 
-def _pattern(before: Column) -> Column:
-    """The lexical pattern of what stands before: the last word, cue signs made one, numbers made one; null if none or cut."""
-    word = F.regexp_extract(F.regexp_replace(before, CUE, "= "), r"(?:^|\s)(\S+)\s*$", 1)
-    return F.when(F.length(word).between(1, REACH // 2), F.regexp_replace(F.lower(word), "[0-9]+", "0"))
+def _normal(text: Column) -> Column:
+    """Cue signs made one, numbers made one, lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, CUE, "= "), "[0-9]+", "0"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _patterns(span: Column) -> Column:
+    """The lexical patterns of a span as array<pattern, last>, ``last`` the word before it; none where that touches the span."""
+
+    def of(left: Column, right: Column) -> Column:
+        last = F.get(left, F.size(left) - 1)
+        both = F.array(last, F.concat(F.get(left, F.size(left) - 2), F.lit(" "), last), F.concat(last, F.lit(" _ "), F.get(right, F.lit(0))))
+        return F.transform(F.array_compact(both), lambda p: F.struct(p.alias("pattern"), last.alias("last")))
 
+    before = _normal(span["before"])
+    after = F.regexp_replace(_normal(span["after"]), r"^\S++", "")
+    found = _let(_words(before), lambda left: _let(_words(after), lambda right: of(left, right)))
+    return F.when(before.rlike(r"\s$"), found).otherwise(_none("struct<pattern:string,last:string>"))
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``h`` (hash of the text), one span array per kind, ``candidates`` outside these, and ``runs``: long numbers that failed."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.translate("text", "\x01", "\x02").alias("t"))  # the mark must not occur; it matches nothing either way
+
+def _class(value: Column) -> Column:
+    """The class of characters of a value in lower case."""
+    runs = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "0"), r"\p{L}+", "a")
+    return F.when(value.rlike("^[0-9a-f]{12,}$"), "hex").when(value.rlike("^[a-z0-9_+/-]{16,}$"), "long").otherwise(runs)
+
+
+def _trimmed(spans: Column) -> Column:
+    """Candidates without signs at their ends, of four characters or more."""
+
+    def one(s: Column) -> Column:
+        start = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(_TRIM)))
+        value = F.trim(s["value"], F.lit(_TRIM))
+        head = F.substring(s["value"], F.lit(1), start - s["start"])
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), F.concat(s["before"], head).alias("before"), s["after"].alias("after"))
+
+    return F.filter(F.transform(spans, one), lambda s: F.length(s["value"]) >= 4)
+
+
+def base_spans(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """``doc_id``, ``h`` (hash of the text), one span array per kind, ``candidates`` outside these, and ``runs``: long numbers that failed.
+
+    With ``keep``, also ``row``: the whole row of ``docs`` as a struct.
+    """
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *whole)
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.translate("text", "\x01", "\x02").alias("t"), *(["row"] if keep else []))  # the mark must not occur; it matches nothing either way
     text = F.col("t")
     for kind, pattern, possible, _ in KINDS:
         rows = rows.withColumn(kind, _matches(text, pattern, possible(text)))
     rows = rows.withColumn("runs", F.concat(*(_valid(F.col(k), _fails(valid)) for k, _, _, valid in KINDS if k in SHAPED)))
     for kind, _, _, valid in KINDS:
         rows = rows.withColumn(kind, _valid(F.col(kind), valid))
-    rows = rows.withColumn("base", F.concat(*(k[0] for k in KINDS)))
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    return rows.withColumn("candidates", F.filter(_matches(text, CANDIDATE, text.rlike(CANDIDATE)), free)).drop("t", "base")
+    apart = lambda base: lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    offered = _trimmed(_matches(text, CANDIDATE, text.rlike(CANDIDATE)))
+    return rows.withColumn("candidates", _let(F.concat(*(k[0] for k in KINDS)), lambda base: F.filter(offered, apart(base)))).drop("t")
 
 
 def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern``, ``uses``: how often each of ``patterns`` occurs in all texts."""
-    text = F.lower(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), CUE, "= "))
-    words = docs.select(F.explode(F.split(F.regexp_replace(text, "[0-9]+", "0"), r"\s+")).alias("pattern"))
+    """``pattern``, ``uses``: how often each of ``patterns`` (``pattern``, ``last``) occurs in all texts."""
+    words = docs.select(F.split(_normal(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+").alias("words")).select("words", F.posexplode("words").alias("at", "last"))
+    last, at = F.col("last"), F.col("at")
+    each = F.explode(F.array(last, F.concat(F.get("words", at - 1), F.lit(" "), last), F.concat(last, F.lit(" _ "), F.get("words", at + 2)))).alias("pattern")
     if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
+        words = words.join(F.broadcast(patterns.select("last").distinct()), "last").select(each)
         return words.join(F.broadcast(patterns.select("pattern")), "pattern").groupBy("pattern").agg(F.count("*").alias("uses"))
-    return words.groupBy("pattern").agg(F.count("*").alias("uses")).join(patterns.select("pattern"), "pattern")
+    return words.select(each).where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("uses")).join(patterns.select("pattern"), "pattern")
 
 
-def scored_patterns(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``pattern``, ``confidence`` of the patterns with enough instances, from the rows of ``base_spans``."""
+def _seen(spans: DataFrame) -> DataFrame:
+    """``patterns``, ``instance``, ``class`` and ``seed`` of every seed and candidate."""
+    of = lambda kind, seed: F.transform(kind, lambda s: F.struct(_patterns(s).alias("patterns"), F.lower(s["value"]).alias("instance"), F.lit(seed).alias("seed")))
+    seen = F.concat(*(of(k[0], True) for k in KINDS), of("candidates", False))
+    return spans.select(F.explode(seen).alias("s")).select("s.*").withColumn("class", _class(F.col("instance")))
 
-    def of(kind: str, seed: bool) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"), F.lit(seed).alias("seed")))
 
-    seen = F.concat(*(of(k[0], True) for k in KINDS), of("candidates", False))
-    found = spans.select(F.explode(seen).alias("s")).select(_pattern(F.col("s.before")).alias("pattern"), F.lower("s.value").alias("instance"), "s.seed").where("pattern is not null")
-    edges = found.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    known = edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT)
-    edges = cut(edges.join(known.select("pattern"), "pattern"))
-    uses = cut(_uses(docs, edges.select("pattern").distinct()))
-    belief = edges.withColumn("belief", F.col("seed").cast("double"))
+def scored_patterns(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``pattern``, ``confidence`` of the patterns with enough instances, from the rows of ``base_spans``."""
+    seen = _seen(spans)
+    nodes = seen.groupBy("class", "instance").agg(F.max("seed").alias("seed"))
+    classes = cut(nodes.groupBy("class").agg(F.count("*").alias("members"), F.count_if("seed").alias("seeds")))
+    edges = seen.select(F.explode("patterns").alias("p"), "instance", "class", "seed").groupBy("p.pattern", "p.last", "instance", "class").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    known = edges.groupBy("pattern", "last").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT).select("pattern", "last")
+    edges = cut(edges.join(known, ["pattern", "last"]).select("pattern", "last", "instance", "class", "n", "seed"))
+    if not edges.limit(1).count():
+        return edges.select("pattern", F.lit(0.0).alias("confidence"))
+    uses = cut(_uses(docs, edges.select("pattern", "last").distinct()))
+    found = edges.select("pattern", "instance", "class", "n", "seed", F.lit(0.0).alias("best"))
     for turn in range(ROUNDS):
-        backed = belief.groupBy("pattern").agg(F.sum(F.col("n") * F.col("belief")).alias("hits"), F.count_if(F.col("belief") >= ACCEPT).alias("support"))
-        patterns = backed.join(uses, "pattern").select("pattern", F.when(F.col("support") >= SUPPORT, F.least(F.lit(1.0), F.col("hits") / F.col("uses"))).otherwise(0.0).alias("confidence"))
+        accepted = found.where(~F.col("seed") & (F.col("best") >= ACCEPT)).select("class", "instance").distinct().groupBy("class").agg(F.count("*").alias("more"))
+        share = classes.join(accepted, "class", "left").select("class", ((F.col("seeds") + F.coalesce("more", F.lit(0))) / F.col("members")).alias("share"))
+        belief = F.when(F.col("seed") | (F.col("best") >= ACCEPT), 1.0).otherwise(1 - (1 - F.col("share")) * (1 - F.col("best")))
+        hits = found.join(share, "class").groupBy("pattern").agg(F.sum(F.col("n") * belief).alias("hits"))
+        patterns = hits.join(uses, "pattern").select("pattern", F.least(F.lit(1.0), F.col("hits") / F.col("uses")).alias("confidence"))
         if turn < ROUNDS - 1:
-            doubt = edges.join(patterns, "pattern").groupBy("instance").agg(F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(1 - 1e-9))))).alias("doubt"))
-            belief = cut(edges.join(doubt, "instance").select("pattern", "instance", "n", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("doubt")).alias("belief")))
+            best = edges.join(patterns, "pattern").groupBy("class", "instance").agg(F.max("confidence").alias("best"))
+            found = cut(edges.join(best, ["class", "instance"], "left").select("pattern", "instance", "class", "n", "seed", F.coalesce("best", F.lit(0.0)).alias("best")))
     return patterns
 
 
 def shaped(spans: DataFrame) -> DataFrame:
     """``doc_id``, ``h``, ``s``: parts of failed runs that have the shape of many seeds and pass their kind's test."""
+
+    def seeds(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value")))
+
+    known = spans.select(F.explode(F.concat(*map(seeds, SHAPED))).alias("s")).select("s.*").withColumn("shape", _shape(F.col("value"))).groupBy("kind", "shape", "value").agg(F.count("*").alias("n"))
+    shapes = cut(known.groupBy("kind", "shape").agg(F.sum("n").alias("hits"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT))
+    most = shapes.agg(F.max(F.size(F.split("shape", " ")))).first()[0] or 1
+
     at = Window.partitionBy("doc_id", "h", "run").orderBy("pos")
     base = F.transform(F.concat(*(k[0] for k in KINDS)), lambda b: F.struct(b["start"], b["stop"]))
     runs = spans.where("size(runs) > 0").select("doc_id", "h", base.alias("base"), F.explode("runs").alias("s")).select("doc_id", "h", "base", F.col("s.start").alias("run"), F.col("s.value").alias("value"))
     words = runs.dropDuplicates(["doc_id", "h", "run"]).select("doc_id", "h", "base", "run", F.posexplode(F.split("value", " ")))
     before = F.coalesce(F.sum(F.length("col") + 1).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = words.select("doc_id", "h", "base", (F.col("run") + before).cast("int").alias("start"), F.array(*(F.lead("col", n).over(at) for n in range(WORDS))).alias("next"))
-    grams = F.array(*(F.when(F.col("next")[n].isNotNull(), F.concat_ws(" ", F.slice("next", 1, n + 1))) for n in range(WORDS)))
+    placed = words.select("doc_id", "h", "base", (F.col("run") + before).cast("int").alias("start"), F.array(*(F.lead("col", n).over(at) for n in range(most))).alias("next"))
+    grams = F.array(*(F.when(F.col("next")[n].isNotNull(), F.concat_ws(" ", F.slice("next", 1, n + 1))) for n in range(most)))
     parts = placed.select("doc_id", "h", "base", "start", F.explode(F.array_compact(grams)).alias("value"))
     parts = parts.withColumn("stop", F.col("start") + F.length("value")).withColumn("shape", _shape(F.col("value")))
-    parts = cut(parts.where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))).drop("base"))
-
-    def seeds(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value")))
-
-    known = spans.select(F.explode(F.concat(*map(seeds, SHAPED))).alias("s")).select("s.*").withColumn("shape", _shape(F.col("value"))).groupBy("kind", "shape", "value").agg(F.count("*").alias("n"))
-    shapes = known.groupBy("kind", "shape").agg(F.sum("n").alias("hits"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    parts = parts.where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))).drop("base")
     valid = F.coalesce(*(F.when((F.col("kind") == k), test(F.col("value"))) for k, _, _, test in KINDS if k in SHAPED), F.lit(False))
-    found = parts.join(shapes, "shape").where(valid)
+    found = cut(parts.join(shapes, "shape").where(valid))
     uses = found.groupBy("kind", "shape").agg(F.count("*").alias("others"))
     good = shapes.join(uses, ["kind", "shape"]).where(F.col("hits") >= ACCEPT * (F.col("hits") + F.col("others"))).select("kind", "shape")
-    span = F.struct("start", "stop", "value", F.lit("").alias("before"))
-    return found.join(good, ["kind", "shape"]).select("doc_id", "h", span.alias("s"))
+    return found.join(good, ["kind", "shape"]).select("doc_id", "h", F.struct("start", "stop").alias("s"))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``h``, a span array per kind, and ``context``: spans that patterns of high confidence found."""
-    spans = cut(base_spans(docs))
+def contexts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``d``, ``g``, ``context``: the spans that shapes and patterns of high confidence found, by ``doc_id`` and ``h``, for texts that have any."""
     extra = shaped(spans)
     accepted = cut(scored_patterns(docs, spans).where(F.col("confidence") >= ACCEPT).select("pattern"))
     if accepted.limit(1).count():
-        offered = spans.select("doc_id", "h", F.explode("candidates").alias("s")).withColumn("pattern", _pattern(F.col("s.before")))
-        extra = extra.unionByName(offered.join(accepted, "pattern").select("doc_id", "h", "s"))
-    by_text = extra.groupBy("doc_id", "h").agg(F.collect_set("s").alias("found")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), _apart(F.col("found")).alias("context"))
-    none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    joined = spans.drop("candidates", "runs").join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
-    return joined.withColumn("context", F.coalesce("context", none))
+        offered = spans.select("doc_id", "h", F.explode("candidates").alias("c")).select("doc_id", "h", _patterns(F.col("c")).alias("patterns"), F.lower("c.value").alias("instance"), F.struct("c.start", "c.stop").alias("s"))
+        found = cut(offered.select("doc_id", "h", "s", "instance", F.explode("patterns.pattern").alias("pattern")).join(accepted, "pattern").select("doc_id", "h", "s", "instance"))
+        long = found.where(F.length("instance") >= LONG).select("instance").distinct()
+        again = offered.join(long, "instance", "left_semi").select("doc_id", "h", "s")
+        extra = extra.unionByName(found.select("doc_id", "h", "s")).unionByName(again)
+    return extra.groupBy("doc_id", "h").agg(F.collect_set("s").alias("found")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), _apart(F.col("found")).alias("context"))
+
+
+def _with_contexts(docs: DataFrame, spans: DataFrame, *kept: str) -> DataFrame:
+    """``spans`` with ``context``. Only rows that can have such spans are joined."""
+    found = contexts(docs, spans)
+    columns = [*kept, *(k[0] for k in KINDS)]
+    may = F.size("candidates") + F.size("runs") > 0
+    joined = spans.where(may).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    rest = spans.where(~may).select(*columns, _none(_PLACE).alias("context"))
+    return joined.select(*columns, F.coalesce("context", _none(_PLACE)).alias("context")).unionAll(rest)
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``h``, a span array per kind, and ``context``: spans that patterns of high confidence found."""
+    return _with_contexts(docs, cut(base_spans(docs)), "doc_id", "h")
+
+
+_PLACE = "struct<start:int,stop:int>"
 
 
 def _apart(spans: Column) -> Column:
     """Spans from left to right, of overlapping ones the first and of these the longest."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
+    first = F.struct(F.lit(0).alias("at"), _none(_PLACE).alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fits = s["start"] >= acc["at"]
         return F.struct(F.when(fits, s["stop"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+    return F.aggregate(ordered, first, step, lambda acc: acc["out"])
 
 
 def listed(*kinds: str) -> Column:
@@ -215,24 +326,39 @@ def report(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    A column ``n_chars`` gets the new length where the text changed.
+    A column ``n_chars`` gets the new length where the text changed. All other columns stay as they
+    are. Texts travel only where a context span is possible.
     """
     kinds = (*(k[0] for k in KINDS), "context")
 
     def tag(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(f"[{kind.upper()}]").alias("kind")))
 
-    tagged = F.array_sort(F.concat(*map(tag, kinds)))
-    spans = find(docs).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), tagged.alias("__spans")).where("size(__spans) > 0").dropDuplicates(["__d", "__h"])
-    hit = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = _with_contexts(docs, cut(base_spans(docs, keep=True)), "row")
+    tagged = found.select("row", F.array_sort(F.concat(*map(tag, kinds))).alias("spans"))
+    text = F.col("row.text").cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), s["kind"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    joined = docs.join(spans, hit, "left")
-    joined = joined.withColumn("__text", F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text")))
-    changed = {"text": F.col("__text"), "n_chars": F.when(F.col("__spans").isNotNull(), F.length("__text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return joined.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+    def between(blocks: Column, start: Column, stop: Column) -> Column:
+        """Characters from ``start`` to before ``stop``, found without counting from the text's first one."""
+        first = (start / TEXT_BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, (stop / TEXT_BLOCK).cast("int") - first + 1), "")
+        return near.substr(start - first * TEXT_BLOCK + 1, stop - start)
+
+    def replaced(blocks: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.concat(between(blocks, acc["at"], s["start"]), s["kind"])
+            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), _none("string").alias("out"))
+        return F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), between(blocks, acc["at"], F.length(text))))
+
+    masked = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), 0), replaced)
+    ready = tagged.select("row", F.when(F.size("spans") > 0, masked).alias("changed"))
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+
+    def value(name: str) -> Column:
+        own = F.col("row")[name]
+        new = {"text": F.col("changed"), "n_chars": F.length("changed")}.get(name)
+        return own.alias(name) if new is None else F.when(F.col("changed").isNotNull(), new.cast(kind[name])).otherwise(own).alias(name)
+
+    return ready.select(*map(value, docs.columns))
