@@ -2,7 +2,7 @@
 
 import random
 
-from vicinity.llm.html_text import extract, lines, main_text, surges
+from vicinity.llm.html_text import OUTSIDE, block_sums, extract, lines, main_text, surges, weights
 
 
 def article(rng, n):
@@ -44,8 +44,50 @@ def test_edge_cases(spark):
 
 
 def test_surge_and_dive():
+    """The sums decide: five lines without weight are a dive, fewer are bridged; a stretch without a surge is none."""
     import numpy as np
 
-    assert surges(np.array([5, 0, 10, 30, 40, 0, 50, 50]), 60, 3) == [(2, 5), (6, 8)]
-    assert surges(np.array([1, 1, 1, 1, 100.0]), 60, 3) == [(2, 5)]
+    assert block_sums(np.array([1.0, 2, 4, 8, 16, 32])).tolist() == [7, 15, 31, 62, 60, 56]
+    assert surges(np.array([70.0, 0, 0, 0, 0, 20, 30, 0, 0, 0, 0, 0, 3, 0, 0, 0, 0, 0, 40, 40]), 60) == [(0, 7), (18, 20)]
+    assert surges(np.array([5.0, 4, 0, 0, 0, 0, 0, 1])) == [(0, 2)]
     assert surges(np.zeros(0)) == [] and [row.text for row in lines("<p>a<td>b")] == ["a", "b"]
+
+
+def around(inner, title="h1"):
+    links = "".join(f"<li><a href=/{n}>{n * 5}</a></li>" for n in "abcdef")
+    return f"<body><nav><ul>{links}</ul></nav><div class=ad>{'buy this ' * 9}</div>{inner}<footer>&copy; someone</footer><ul>{links}</ul></body>"
+
+
+def test_marked_and_stripped_pages_with_noise_inside():
+    """Short paragraphs stay, noise inside goes, with and without the article's mark; text F1 is 1 in all cases here."""
+    rng = random.Random(5)
+    for _ in range(60):
+        blocks = [b for b in article(rng, rng.randint(2, 9)) if b.strip()] + ["One."] * rng.randint(0, 6) + ["x" * 70]
+        noise = ["<div class=ad><p>Buy this now and pay later, it is the best of all that there is.</div>", "<ul class=related>" + "<li><a href=/x>read more of this</a></li>" * rng.randint(1, 9) + "</ul>", "<form>sign up <input></form>", ""]
+        parts = [f"<p>{escaped(b)}</p>" for b in blocks]
+        parts.insert(rng.randint(1, len(parts) - 1), rng.choice(noise))
+        for page in (f"<article>{''.join(parts)}</article>", f"<main>{''.join(parts)}</main>", f"<div class=text>{''.join(parts)}</div>"):
+            assert main_text(around(page)) == " ".join(blocks)
+
+
+def test_an_unmarked_article_split_by_a_long_list_of_links():
+    long, short = "A paragraph of the article, long enough to surge by itself. " * 50, "The opening section of the article is a good deal shorter than what follows."
+    links = "<ul>" + "<li><a href=/x>another story to read</a></li>" * 12 + "</ul>"
+    assert main_text(around(f"<div id=content><p>{short}</p>{links}<p>{long}</p></div><form>sign up</form><div><p>Some other words of the page.</p></div>")) == f"{short} {long.strip()}"
+
+
+def test_lines_outside_the_mark_weigh_less_but_are_not_barred():
+    """What is outside a marked article stays out by its sums: the mark lowers weights."""
+    inside = "Words of the article, of which there are quite a few in this line."
+    assert main_text(f"<article><p>{inside}</article><div><p>A line about the site, no more.</div>") == inside
+    rows = lines(f"<article><p>{inside}</article><div><p>A line about the site.</div>")
+    assert weights(rows).tolist() == [len(inside), len("A line about the site.") * OUTSIDE]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<b>" * 100_000 + "</i>" * 100_000 + "x", "<span><div>" + "<b>" * 60_000 + "</span>" * 60_000 + "x", "<div>" * 50_000 + "<p>x" * 1000):
+        assert main_text(page).startswith("x")
+    assert time.perf_counter() - start < 60

@@ -1,23 +1,29 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block-level element. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms, comments of readers and the like, known by element or by the words of class
-and id, weigh nothing and split the page into stretches; so do lines that are mostly links. Text
-lengths are summed over sliding windows of ``WINDOW`` lines. A surge is where the sum rises to
-``SURGE`` from less, a dive where it falls to nothing; what stands between is a candidate. If the page
-marks an article (``article``, ``main`` or ``role="main"``), only its lines weigh, each at least a
-surge, as short paragraphs belong to it too; else the candidates with at least ``SHARE`` of the
-longest one's text are kept.
-
-A null page counts as empty; a page without such text gives the empty string. Unclosed elements end
-with their parent; a page cut short keeps what it has. Text is never shortened. Repeated rows stay; an
-empty table gives none; other columns are ignored.
+Markup is stripped to lines, one a block-level element. A line weighs its length; what is known of it may
+lower that: lines of menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and the
+like, known by element or by the words of class and id, weigh nothing, links count for nothing, and where a
+page marks its article (``article``, ``main`` or ``role="main"``), lines outside weigh ``OUTSIDE`` of their length.
+
+Weights are summed over sliding windows of ``WINDOW`` lines, centred on each line. A surge is where the sum rises
+to ``SURGE``, or to ``SHARE`` of the page's largest sum if that is less, so that short articles surge too; a
+dive is where it falls to nothing: as many lines without weight. The stretch between, from where it first
+weighs anything, is a candidate. Kept are the candidate of most weight, those with at least ``SHARE`` of it, and those
+in the same article or the same container, which an advert or a list of links may have split. Lines at the ends
+of these that weightless lines part from the rest go, unless they surge by themselves or belong to that
+article or container; so do lines of lowered weight that would not surge alone.
+
+A null page counts as empty; a page without such text gives the empty string. Of candidates of equal weight
+the first is the one of most. Unclosed elements end with their parent; a page cut short keeps what it has; the
+time taken is in proportion to the page, however deep its elements. Text is never shortened. Repeated rows
+stay; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +33,11 @@ from pyspark.sql import DataFrame
 
 from .common import pieces
 
-WINDOW = 3
+WINDOW = 5
 SURGE = 60
 SHARE = 0.3
 LINKS = 0.5
+OUTSIDE = 0.1
 
 # Element names of HTML.
 BLOCKS = set(
@@ -63,12 +70,13 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Line:
-    """The text of one block, the part of it in links, and what its ancestors say."""
+    """The text of one block, the part of it in links, and what its ancestors say. ``home`` numbers its container."""
 
     text: str
     linked: int
     noise: bool
     article: bool
+    home: int = 0
 
 
 def _marks(attributes: str, words: re.Pattern = NOISE) -> tuple[bool, bool]:
@@ -84,24 +92,86 @@ def _marks(attributes: str, words: re.Pattern = NOISE) -> tuple[bool, bool]:
     return noise, main
 
 
+class Stack:
+    """Open elements as (name, noise, article, link), with counts of the names open inside each container.
+
+    The counts tell whether a search would find an element to close, so that only what is closed is looked at.
+    """
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+        self.inside: list[Counter] = [Counter()]
+        self.homes = [0]
+        self.containers = Counter()
+        self.number = 0
+
+    @property
+    def top(self) -> tuple[str, bool, bool, bool]:
+        return self.open[-1]
+
+    @property
+    def home(self) -> int:
+        return self.homes[-1]
+
+    def push(self, name: str, noise: bool, article: bool, link: bool) -> None:
+        self.open.append((name, noise, article, link))
+        if name in CONTAINERS:
+            self.number += 1
+            self.containers[name] += 1
+            self.inside.append(Counter())
+            self.homes.append(self.number)
+        else:
+            self.inside[-1][name] += 1
+
+    def _pop(self) -> str:
+        name = self.open.pop()[0]
+        if name in CONTAINERS:
+            self.containers[name] -= 1
+            self.inside.pop()
+            self.homes.pop()
+        else:
+            self.inside[-1][name] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        """Ends the innermost ``name``, with all in it; a container's border is only crossed by a container's end."""
+        if self.containers[name] if name in CONTAINERS else self.inside[-1][name]:
+            while self._pop() != name:
+                pass
+
+    def close_any(self, names: set[str]) -> None:
+        """Ends the innermost element of ``names`` since the last container, or that container if it is one of them."""
+        if any(self.inside[-1][n] for n in names):
+            while self._pop() not in names:
+                pass
+        elif len(self.homes) > 1 and names & CONTAINERS:
+            at = len(self.open) - 1
+            while self.open[at][0] not in CONTAINERS:
+                at -= 1
+            if self.open[at][0] in names:
+                while self._pop() not in names:
+                    pass
+
+
 def lines(page: str) -> list[Line]:
     """The page's blocks in order. Character references are decoded; white space is one space."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, noise, article, link
+    stack = Stack()
     parts: list[str] = []
     linked = 0
 
     def put(raw: str) -> None:
         nonlocal linked
         parts.append(raw)
-        if stack[-1][3]:
+        if stack.top[3]:
             linked += len(raw)
 
     def end() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, linked, stack[-1][1], stack[-1][2]))
+            _, noise, article, _ = stack.top
+            out.append(Line(text, linked, noise, article, -1 if article else stack.home))
         parts.clear()
         linked = 0
 
@@ -120,12 +190,7 @@ def lines(page: str) -> list[Line]:
         if closing:
             if name in BLOCKS:
                 end()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINERS and name not in CONTAINERS:
-                    break
+            stack.close(name)
             continue
         if name in BLOCKS or name in DROPPED:
             end()
@@ -134,60 +199,80 @@ def lines(page: str) -> list[Line]:
             at = stop.start() if stop else len(page)
             if name in DROPPED:
                 continue
-        closes = CLOSED_BY.get(name, {"p"} if name in ENDS_P else set())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in closes:
-                del stack[i:]
-                break
-            if stack[i][0] in CONTAINERS:
-                break
+        closes = CLOSED_BY.get(name, {"p"} if name in ENDS_P else None)
+        if closes:
+            stack.close_any(closes)
         if name in VOID or attributes.endswith("/"):
             continue
-        _, noise, article, link = stack[-1]
+        _, noise, article, link = stack.top
         named, main = _marks(attributes, NOISE_ARTICLE if name in HEADED else NOISE) if attributes else (False, False)
         inside = article or name in HEADED or main
         dropped = name in DROPPED and not (name == "header" and article)
-        stack.append((name, noise or dropped or (named and name not in ("html", "body")), inside, link or name == "a"))
+        stack.push(name, noise or dropped or (named and name not in ("html", "body")), inside, link or name == "a")
     end()
     return out
 
 
-def surges(weights: np.ndarray, least: float = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(first, after last) of the stretches between a surge and the dive that follows.
+def weights(rows: list[Line]) -> np.ndarray:
+    """What each line counts for: its length, lowered by what is known of it."""
+    marked = any(r.article and not r.noise for r in rows)
+    out = np.zeros(len(rows))
+    for n, r in enumerate(rows):
+        size = len(r.text)
+        if not r.noise:
+            own = size if r.article else size - r.linked if r.linked <= LINKS * size else 0
+            out[n] = own * (OUTSIDE if marked and not r.article else 1)
+    return out
+
+
+def block_sums(weight: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Sums over ``window`` lines centred on each line."""
+    total = np.concatenate([[0.0], np.cumsum(weight)])
+    at = np.arange(len(weight))
+    return total[np.minimum(at + window // 2 + 1, len(weight))] - total[np.maximum(at - window // 2, 0)]
 
-    The sums run over ``window`` lines from each line on, and do not reach across lines of weight
-    zero. A stretch begins at its surge; one with no surge in it is no candidate.
+
+def surges(weight: np.ndarray, least: float | None = None, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(first, after last) weighing line of the stretches that surge, each ended by a dive.
+
+    ``least``: the sum of a surge; if none, ``SURGE`` or, if less, ``SHARE`` of the largest sum.
     """
-    found, n, start = [], len(weights), 0
-    while start < n:
-        if weights[start] <= 0:
-            start += 1
-            continue
-        stop = start
-        while stop < n and weights[stop] > 0:
-            stop += 1
-        block = np.convolve(weights[start:stop], np.ones(window))[window - 1 :]
-        if block.max() >= least:
-            found.append((start + int(np.argmax(block >= least)), stop))
-        start = stop
-    return found
+    held = np.flatnonzero(weight > 0)
+    if not len(held):
+        return []
+    sums = block_sums(weight, window)
+    if least is None:
+        least = min(SURGE, SHARE * sums.max())
+    dives = np.flatnonzero(np.diff(held) > window)  # that many lines without weight, or more: a sum of nothing between
+    first, last = held[np.concatenate([[0], dives + 1])], held[np.concatenate([dives, [len(held) - 1]])]
+    return [(int(a), int(b) + 1) for a, b in zip(first, last, strict=True) if sums[a : b + 1].max() >= least]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by one space."""
     rows = lines(page or "")
-    marked = any(r.article and not r.noise for r in rows)
-    weights = np.zeros(len(rows))
-    for n, r in enumerate(rows):
-        if r.noise or (marked and not r.article):
+    weight = weights(rows)
+    found = surges(weight)
+    if not found:
+        return ""
+    least = min(SURGE, SHARE * block_sums(weight).max())
+    size = [weight[a:b].sum() for a, b in found]
+    a, b = found[int(np.argmax(size))]
+    home = Counter()
+    for n in range(a, b):
+        home[rows[n].home] += weight[n]
+    (own, _), *_ = home.most_common(1)
+    kept = []
+    for (a, b), s in zip(found, size, strict=True):
+        mine = [n for n in range(a, b) if rows[n].home == own and weight[n] > 0]
+        if s < SHARE * max(size) and not mine:
             continue
-        size = len(r.text)
-        weights[n] = max(size, SURGE) if marked else 0 if r.linked > LINKS * size else size - r.linked
-    found = surges(weights)
-    if not marked and found:
-        sums = [weights[a:b].sum() for a, b in found]
-        found = [f for f, s in zip(found, sums, strict=True) if s >= SHARE * max(sums)]
-    return " ".join(r.text for a, b in found for r in rows[a:b])
+        # what stands apart at an end of the stretch has to surge by itself, or belong to the container
+        runs = [r for r in np.split(np.arange(a, b), np.flatnonzero(np.diff(weight[a:b] > 0)) + 1) if weight[r[0]] > 0]
+        strong = [k for k, r in enumerate(runs) if weight[r].sum() >= least or rows[r[0]].home == own or rows[r[-1]].home == own]
+        for r in runs[strong[0] : strong[-1] + 1] if strong else []:
+            kept += [rows[n].text for n in r if weight[n] >= LINKS * len(rows[n].text) or weight[n] >= least]
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
