@@ -1,11 +1,18 @@
 """The stages over planted documents, each against what it must keep and drop."""
 
 import random
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vicinity.llm import quality, simhash, toxicity
+from vicinity.llm import quality, toxicity
+
+from .test_pii import plain
+from .test_resemblance import plain_groups
 
 
 @pytest.fixture(scope="module")
@@ -58,15 +65,32 @@ def test_stages_against_brute_force(spark, corpus):
     labels = spark.read.parquet(f"{corpus}/labels.parquet")
     machine, lexicon = quality.train(docs, labels), toxicity.train(docs, labels)
     rows = [r for r in docs.collect() if machine.score(r.text) >= quality.THRESHOLD and lexicon.score(r.text) < 0.5]
-    prints = [simhash.fingerprint((r.text or "").encode()) for r in rows]
-    group = list(range(len(rows)))
-    for i, a in enumerate(prints):
-        for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 2 and group[i] != group[j]:
-                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
-    expected = sorted((min((r.doc_id for r, h in zip(rows, group, strict=True) if h == g and r.doc_id is not None), default=None) for g in set(group)), key=str)
-    found = sorted({r.doc_id for r in corpus_pipeline.run(spark, corpus).collect()}, key=str)
-    assert found == expected
+    group = plain_groups([r.text for r in rows])
+    least = {}
+    for r, g in zip(rows, group, strict=True):
+        order = r.doc_id is None, r.doc_id or 0
+        least[g] = min(least.get(g, (order, r)), (order, r), key=lambda x: x[0])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = {}
+    for _, r in least.values():
+        expected[r.doc_id] = np.array([*tokenizer.encode(plain_mask(r.text or ""), add_special_tokens=False).ids, 0], "<u4")
+    found = corpus_pipeline.run(spark, corpus).collect()
+    assert {r.doc_id for r in found} == set(expected)
+    for doc_id, ids in expected.items():
+        at = 0
+        for r in sorted((r for r in found if r.doc_id == doc_id), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def plain_mask(text):
+    """Base spans by Python's patterns; the invented prose has no contexts to find more."""
+    out, at = "", 0
+    for a, b, kind in sorted((a, b, kind) for kind, spans in plain(text).items() for a, b in spans):
+        if a >= at:
+            out, at = f"{out}{text[at:a]}[{kind.upper()}]", b
+    return out + text[at:]
 
 
 def test_queries_are_registered():

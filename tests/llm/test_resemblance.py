@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from vicinity.llm import resemblance
+from vicinity.llm import linking, resemblance
+from vicinity.llm.components import components
 
 
 def plain_set(text):
@@ -61,3 +62,46 @@ def test_exact_boundary(spark):
     rows = [(1, text("v", 12, "a")), (2, text("v", 12, "b")), (3, text("z", 11, "a")), (4, text("z", 11, "b"))]
     assert sorted(r.doc_id for r in resemblance.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3, 4]
     assert resemblance.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_stay_within_the_radius():
+    """Sets at a similarity of 0.8, of all sizes, are within the radius of the BK-trees."""
+    rng = random.Random(6)
+    for _ in range(1500):
+        size = rng.choice([4, 8, 8, 12, 20, 80, 400])
+        same, own = [rng.getrandbits(64) for _ in range(size)], rng.randint(0, size // 4)
+        a, b = (resemblance.np.array(sorted(same + [rng.getrandbits(64) for _ in range(n)]), resemblance.np.uint64) for n in (own, size // 4 - own))
+        far = sum((x ^ y).bit_count() for x, y in zip(resemblance.prints(a), resemblance.prints(b), strict=True))
+        assert far <= resemblance.RADIUS
+
+
+def test_parts_of_a_shard_connect_what_pairs_connect(spark, monkeypatch):
+    """Shards cut into small parts, with several families in one shard, against all pairs."""
+    monkeypatch.setattr(linking, "PART", 3)
+    monkeypatch.setattr(linking, "OTHERS", 2)
+    values = [1, 2, 3, 10, 11, 12, 13, 20, 30, 31, 32, 33, 34]
+    chain = lambda a, b: abs(a - b) == 1
+    met = []
+
+    def near(pairs):
+        rows = [(r.a, r.b) for r in pairs.collect()]
+        met.extend(rows)
+        return spark.createDataFrame([p for p in rows if chain(*p)], "a long, b long")
+
+    def candidates(parts):
+        out = [(min(m.fp, q.fp), max(m.fp, q.fp), 1, 1) for r in parts.collect() for q in r.others for m in r.members if m.component != q.component]
+        assert all(len(r.members) < 9 for r in parts.collect())
+        return spark.createDataFrame(out, "a long, b long, na long, nb long")
+
+    filed = spark.createDataFrame([(7, v, 1) for v in values] + [(8, 13, 1), (8, 14, 1), (9, 99, 1)], "key long, fp long, n long")
+    found = {r.node: r.component for r in components(linking.connect(filed, near, candidates)).collect()}
+    assert found == {**dict.fromkeys([1, 2, 3], 1), **dict.fromkeys([10, 11, 12, 13, 14], 10), **dict.fromkeys([30, 31, 32, 33, 34], 30)}
+    assert len(set(met)) < len(values) ** 2
+    assert linking.connect(filed.where("false"), near, candidates).count() == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "the same text of some words here", "x"), (2, "the same text of some words here", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").selectExpr("*", "fp as id", "fp as row", "fp as hashes", "fp as component")
+    kept = resemblance.keep_one(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, rows[0][1], "x", "x", "x", "x", "x")]

@@ -105,3 +105,11 @@ def test_one_of_each_group_stays(spark):
     kept = simhash.keep_one(docs_of(spark))
     assert kept.columns == ["doc_id", "text", "fp"]
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.fp) for r in kept.collect()) == [(-1, 8), (3, 2), (4, 4), (7, 6)]
+
+
+def test_clashing_columns_and_nothing(spark):
+    docs = docs_of(spark).selectExpr("doc_id", "text", "fp as id", "'a' as h", "2 as row", "3 as component", "4 as __fp")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and all((r.h, r.row, r.component, r["__fp"]) == ("a", 2, 3, 4) for r in kept.collect())
+    assert sorted(r.id for r in kept.collect()) == [2, 4, 6, 8]
+    assert simhash.keep_one(docs.where("false")).count() == 0

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pieces
@@ -55,14 +55,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, of every row."""
+    """``doc_id``, ``h`` (hash of the text) and ``fp``, the fingerprint as a signed long, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1000):
             fp = np.array([fingerprint(t or b"") for t in b.column("text").to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fp)], ["doc_id", "h", "fp"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as binary) text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 class BKTree:
@@ -142,12 +143,19 @@ def links(fps: DataFrame) -> DataFrame:
     return shards.select("fps").mapInArrow(run, "a long, b long")
 
 
-def grouped(marked: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """``fp``, ``component`` (the least fingerprint reached) and ``least`` (the least document id with ``fp``).
+def id_or_last(name: str) -> Column:
+    """The id as a long; a null one comes after all others."""
+    return F.coalesce(F.col(name).cast("long"), F.lit((1 << 63) - 1))
 
-    Fingerprints are connected by ``edges``, or else by ``links``.
-    """
-    named = components(links(marked.select("fp").distinct()) if edges is None else edges).withColumnRenamed("node", "fp")
+
+def text_hash(name: str) -> Column:
+    """A hash of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
+def grouped(marked: DataFrame) -> DataFrame:
+    """``fp``, ``component`` (the least fingerprint reached) and ``least`` (the least document id with ``fp``)."""
+    named = components(links(marked.select("fp").distinct())).withColumnRenamed("node", "fp")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     return cut(least.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
 
@@ -161,27 +169,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def id_or_last(name: str) -> Column:
-    """The id as a long; a null one comes after all others."""
-    return F.coalesce(F.col(name).cast("long"), F.lit((1 << 63) - 1))
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``id``, ``h``, ``fp`` and ``component`` (the least fingerprint that links reach) of every row."""
+    marked = cut(fingerprints(docs))
+    return marked.join(grouped(marked).select("fp", "component"), "fp").select(id_or_last("doc_id").alias("id"), "h", "fp", "component")
 
 
-def keep_one(docs: DataFrame, mark: Callable[[bytes], int] = fingerprint, group: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns.
+def keep_one(docs: DataFrame, named: Callable[[DataFrame], DataFrame] = named_rows) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns, whatever their names.
 
     It is a row with the component's least id (rows without an id come last), then with the least
-    fingerprint; of repeated rows, one. ``mark`` is the fingerprint of a text; ``group`` makes of
-    ``docs`` what ``grouped`` makes of fingerprints.
+    fingerprint; of rows with the same id and text, one. ``named`` tells what is linked, as ``named_rows`` does.
+    Rows are made one by id and text before they travel, so many equal ones are no burden; an empty table gives none.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1000):
-            fp = np.array([mark((t or "").encode()) for t in b.column("text").to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.mapInArrow(run, f"{kept}, __fp long").withColumn("__id", id_or_last("doc_id"))
-    named = group(docs) if group else grouped(cut(fingerprints(docs)))
-    first = named.groupBy("component").agg(F.min(F.struct(id_or_last("least").alias("id"), "fp")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp"))
-    turn = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("__id"))
-    return rows.join(first, ["__id", "__fp"], "left_semi").withColumn("__turn", turn).where("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = named(docs).groupBy("component").agg(F.min(F.struct("id", "fp", "h")).alias("k")).select("k.id", "k.h")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(id_or_last("doc_id").alias("id"), text_hash("text").alias("h"), whole.alias("row")).groupBy("id", "h").agg(F.first("row").alias("row"))
+    return rows.join(first, ["id", "h"], "left_semi").select("row.*")
