@@ -4,8 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
-from vicinity.llm import spotsigs
+from vicinity.llm import linking, spotsigs
 
 
 def test_signatures_and_likeness():
@@ -18,10 +19,59 @@ def test_signatures_and_likeness():
     assert (spotsigs.signatures("ab cd") != spotsigs.signatures("ab ce")).any()
 
 
-def test_size_classes():
-    for least in (0.5, 0.8):
-        for n in range(1, 200):
-            assert spotsigs.size_class(int(np.floor(n / least)), least) - spotsigs.size_class(n, least) <= 1
+def test_sets_with_few_anchors_are_covered_by_runs_of_words():
+    text = "the cat sat " + " ".join(f"w{i}" for i in range(300))
+    other = text.replace("w250", "x250")
+    a, b = spotsigs.signatures(text), spotsigs.signatures(other)
+    assert len(a) > 250 and 0.9 < spotsigs.likeness(a, b) < 1
+
+
+@pytest.mark.parametrize("least", [(1, 2), (4, 5), (9, 10)])
+def test_near_sets_share_a_key(least):
+    """Any two sets of the least Jaccard or more are filed under a common signature and size class."""
+    rng, loads = np.random.default_rng(2), np.random.default_rng(3).integers(0, 50, 1 << 16)
+    found = 0
+    for _ in range(3000):
+        same, own = rng.integers(0, 1 << 32, rng.integers(1, 40), dtype=np.uint32), rng.integers(0, 1 << 32, rng.integers(0, 12), dtype=np.uint32)
+        k = rng.integers(0, len(own) + 1)
+        a, b = np.unique(np.concatenate([same, own[:k]])), np.unique(np.concatenate([same, own[k:]]))
+        if least[1] * len(np.intersect1d(a, b)) >= least[0] * len(np.union1d(a, b)):
+            found += 1
+            assert set(spotsigs.keys(a, loads, least).tolist()) & set(spotsigs.keys(b, loads, least).tolist())
+    assert found > 300
+
+
+def families(rng, n):
+    """Texts in families of edited copies, all with the same common words."""
+    word = lambda: rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else f"w{rng.randrange(3000)}"
+    texts = []
+    for _ in range(n):
+        first = [word() for _ in range(rng.randint(20, 200))]
+        for _ in range(rng.randint(1, 9)):
+            text = list(first)
+            for _ in range(rng.randint(0, len(text) // 25)):
+                text[rng.randrange(len(text))] = word()
+            texts.append(" ".join(text))
+    return texts
+
+
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linking, "PART", 8)
+    texts = families(random.Random(5), 40)
+    texts += [texts[0], texts[1].upper(), "", None, "one", "  "]
+    rows = [(i * 7 % 1009 if i % 11 else None, t, 1) for i, t in enumerate(texts)]
+    sets, group = [set(spotsigs.signatures(t or "").tolist()) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert 40 < len(set(group)) < len(texts) - 40
+    least = {g: min((i for (i, _, _), h in zip(rows, group, strict=True) if h == g and i is not None), default=None) for g in set(group)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group_id int").repartition(5)
+    found = spotsigs.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.group_id) for r in found), key=str) == sorted(((i, least[g]) for (i, _, _), g in zip(rows, group, strict=True)), key=str)
+    assert spotsigs.near_duplicates(docs.where("false")).count() == 0
 
 
 def test_against_edits(spark):
@@ -50,4 +100,4 @@ def test_edge_cases(spark):
     assert len(spotsigs.against_edits(odd).collect()) == 5
     nulls = spark.createDataFrame([(None, "a b"), (None, "c")], "doc_id long, text string")
     assert spotsigs.against_edits(nulls).count() == 2
-    assert spotsigs.fingerprints(odd).where("n_signatures > 0").count() == 5
+    assert spotsigs.fingerprints(odd).where("size(signs) > 0").count() == 5

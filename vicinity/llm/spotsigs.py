@@ -1,12 +1,17 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 An anchor is one of the commonest words; its signature is the anchor and the next ``CHAIN`` words
-that are no anchors. A text's fingerprint is the set of its signatures' hashes. Two sets are compared
-by Jaccard; sets whose sizes alone keep it below a threshold are not compared.
-
-A text with words but no full chain is taken as runs of three words (all of them, if fewer); one
-without words as the text itself; so every text has a signature, and equal texts have equal
-fingerprints. A null text counts as empty.
+that are no anchors. A text's fingerprint is the set of its signatures' hashes. Where there are fewer
+signatures than one for ``COVER`` words, as in lists, code or other languages, runs of three words (all
+words, if fewer) are signatures too; a text without words is one itself; so every text has a signature,
+and equal texts have equal fingerprints. A null text counts as empty.
+
+``near_duplicates`` is a self-join of the different fingerprints by Jaccard, at ``LEAST`` or more. Sets are
+partitioned by their size, into classes so wide that a near pair lies in the same or the next one. Within a
+class a set is filed under its rarest signatures, as many as any near set must share one of; rarity is that
+of 65,536 buckets of signatures, counted over all sets. Sets that meet under a signature are settled as
+``linking.connect`` says, pruned by their sizes first and then by exact Jaccard. A null ``doc_id`` keeps its
+row and is ignored when the least id of a group is taken (null if there is no other).
 
 ``against_edits`` pairs each row with the next one in descending ``doc_id`` order. A null id comes
 after all others; rows with equal ids go in a fixed order of their packed texts. The ids are cut into ranges at
@@ -28,9 +33,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import cut, pieces
+from .components import components
+from .linking import connect
 
 CHAIN = 2
+#: Words for each of which a text should have a signature.
+COVER = 20
+#: The least Jaccard of near fingerprints, as a fraction.
+LEAST = (4, 5)
 #: Ranges of ids for each shuffle partition, so that partitions are even.
 RANGES = 4
 
@@ -58,8 +69,8 @@ def signatures(text: str) -> np.ndarray:
             content.append(w)
     last = len(content) - CHAIN
     found = {f"{a} {' '.join(content[k : k + CHAIN])}" for a, k in heads if k <= last}
-    if not found and words:
-        found = {" ".join(("", *words[i : i + 3])) for i in range(max(1, len(words) - 2))}
+    if words and COVER * len(found) < len(words):
+        found |= {" ".join(("", *words[i : i + 3])) for i in range(max(1, len(words) - 2))}
     digest = xxhash.xxh32_intdigest
     return np.unique(np.array([digest(s) for s in found or {"\0" + text}], np.uint32))
 
@@ -73,9 +84,23 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return value if value >= least else 0.0
 
 
-def size_class(size: int, least: float) -> int:
+def size_class(size: int, least: tuple[int, int] = LEAST) -> int:
     """Class of a set's size: sets of a Jaccard of ``least`` or more lie in the same or the next class."""
-    return int(np.floor(np.log(max(1, size)) / -np.log(least) + 1e-9))
+    return int(np.floor(np.log(max(1, size)) / (2 * np.log(least[1] / least[0]))))
+
+
+def rarest(signs: np.ndarray, loads: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """The rarest signatures of a set, one of which any set near it shares."""
+    n = len(signs)
+    order = np.lexsort((signs, loads[signs >> 16]))
+    return signs[order[: n - -(-least[0] * n // least[1]) + 1]]
+
+
+def keys(signs: np.ndarray, loads: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """What a set is filed under: its rarest signatures within its size class, and within the next one if a near set may lie there."""
+    n = len(signs)
+    first, last = size_class(n, least), size_class(n * least[1] // least[0], least)
+    return np.concatenate([rarest(signs, loads, least).astype(np.int64) << 16 | c for c in range(first, last + 1)])
 
 
 def show(signs: np.ndarray) -> str:
@@ -86,15 +111,85 @@ def read(shown: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(shown), ">u4").astype(np.uint32)
 
 
-def fingerprints(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """``doc_id``, ``fingerprint``, ``n_signatures`` and ``size_class`` of every row."""
+def name(signs: np.ndarray) -> int:
+    """The name of a set, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(signs.astype("<u4").tobytes())).astype(np.int64))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` (the name of the set) and ``signs`` (its signatures as 32-bit numbers) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             signs = [signatures(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([show(s) for s in signs], pa.string()), pa.array([len(s) for s in signs], pa.int32()), pa.array([size_class(len(s), least) for s in signs], pa.int32())], ["doc_id", "fingerprint", "n_signatures", "size_class"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([name(s) for s in signs], pa.int64()), pa.array([s.view(np.int32) for s in signs], pa.list_(pa.int32()))], ["doc_id", "fp", "signs"])
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long, signs array<int>")
+
+
+def _sets(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.array(s, np.int32).view(np.uint32) for s in b.column("signs").to_pylist()]
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fingerprint string, n_signatures int, size_class int")
+
+def _loads(nodes: DataFrame) -> np.ndarray:
+    """How many signatures of all sets fall in each of 65,536 buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for s in _sets(b):
+                total += np.bincount(s >> 16, minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+    loads = np.zeros(1 << 16, np.int64)
+    for r in nodes.select("signs").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        loads[r["bucket"]] = r["n"]
+    return loads
+
+
+def links(nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """``a``, ``b``: links of near pairs that connect what all near pairs of ``nodes`` (``fp``, ``signs``) connect."""
+    loads, longs = _loads(nodes), pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            sets = _sets(b)
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys(s, loads, least) for s in sets], longs)], ["fp", "n", "keys"])
+
+    filed = nodes.mapInArrow(run, "fp long, n long, keys array<long>").select("fp", "n", F.explode("keys").alias("key"))
+    num, den = least
+
+    def near(pairs: DataFrame) -> DataFrame:
+        close = cut(pairs.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b"))
+        wanted = close.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        sets = nodes.join(wanted, "fp", "left_semi")
+        left, right = (sets.selectExpr(f"fp as {c}", f"signs as of_{c}") for c in "ab")
+        both = "size(array_intersect(of_a, of_b))"
+        return cut(close.join(left, "a").join(right, "b").where(f"{den} * {both} >= {num} * (size(of_a) + size(of_b) - {both})").select("a", "b"))
+
+    def candidates(parts: DataFrame) -> DataFrame:
+        """Members and others of different components and like sizes, part by part."""
+        met = parts.select(F.explode("others").alias("q"), "members").select("q", F.explode("members").alias("m"))
+        apart = met.where(f"q.component <> m.component and {den} * least(q.n, m.n) >= {num} * greatest(q.n, m.n)")
+        return apart.selectExpr("least(q.fp, m.fp) as a", "greatest(q.fp, m.fp) as b", "q.n as na", "m.n as nb")
+
+    return connect(filed, near, candidates)
+
+
+def grouped(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """``fp`` and ``group_id``, the least document id of all fingerprints that its links reach, for every fingerprint."""
+    marked = fingerprints(docs)
+    nodes = cut(marked.groupBy("fp").agg(F.first("signs").alias("signs"), F.min("doc_id").alias("least")))
+    named = components(links(nodes.select("fp", "signs"), least)).withColumnRenamed("node", "fp")
+    named = nodes.select("fp", "least").join(named, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("group_id"))
+    return named.join(ids, "component").select("fp", "group_id")
+
+
+def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """``doc_id`` and ``group_id`` of every row."""
+    return fingerprints(docs).select("doc_id", "fp").join(grouped(docs, least), "fp").select("doc_id", "group_id")
 
 
 def edited(text: str, following: str) -> str:
