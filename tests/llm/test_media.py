@@ -74,3 +74,10 @@ def test_broken_images_are_reported(spark):
     assert out[1].error is None and out[1].tile is None
     assert out[2].error and out[3].error and out[5].error and out[4].error is None
     assert (out[4].height, out[4].width, out[4].channels) == (1, 64, 3)
+
+
+def test_tall_pictures_are_summed_in_bands(monkeypatch):
+    pixels = RNG.integers(0, 256, (997, 5, 3), np.uint8)
+    whole = media.resize(pixels, 16, 3)
+    monkeypatch.setattr(media, "BAND", 10)
+    assert np.allclose(media.resize(pixels, 16, 3), whole) and np.allclose(whole.mean((0, 1)), pixels.mean((0, 1)))

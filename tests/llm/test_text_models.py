@@ -62,6 +62,34 @@ def test_language_edge_cases(field):
     assert found[3][0] == "en" and 0 <= found[3][1] <= 1
 
 
+def test_letters_only(field):
+    assert language.words_of("x² ½ ① a1b été_ok") == ["x", "a", "b", "été", "ok"]
+    assert [f[0] for f in field.label(["² ½ ①", "7"], Recent(10))] == ["und", "und"]
+    long = "".join(random.Random(1).choice(SOUNDS["fr"]) for _ in range(400))
+    assert len(language.word_features(long)) > 2 * len(long) and field.label([long], Recent(10))[0][0] == "fr"
+
+
+def test_windows_know_their_neighbours(field, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(words(lang, 7, rng) for lang in ("en", "fr", "de", "fr") for _ in range(20)) for _ in range(5)]
+    monkeypatch.setattr(language, "WINDOW", 10_000)
+    whole = field.label(texts, Recent(5000))
+    monkeypatch.setattr(language, "WINDOW", 50)
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-4) for a, b in zip(whole, field.label(texts, Recent(5000)), strict=True))
+
+
+def test_every_language_is_learnt_and_repeated_rows_once(spark):
+    rows = [(None, "le même texte", "fr")] * 500 + [(i, f"lang{i % 70} words{i % 70} here{i % 70}", f"l{i % 70:02}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.train(docs).languages) == 71
+
+
+def test_an_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "x" * 200_000), (3, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert [(r[0], r[2]) for r in labelled_sample(docs, labels, "toxic", 1000, 5, 9)] == [(1, 1), (3, 0)]
+
+
 def test_language_operator(spark):
     rng = random.Random(5)
     rows = [(i, words(lang, 30, rng), lang if i % 3 else None, "x") for i in range(120) for lang in [list(SOUNDS)[i % 2]]] + [(None, None, None, "x"), (7, "!!", "en", "x")]

@@ -5,10 +5,11 @@ languages of neighbouring words are learnt with them, so that words of code-swit
 labelled in context. Forward-backward gives every word's label probabilities; a document's language
 is the one with the largest mean probability over all its words, which is also the score.
 
-Training takes about ``PER_LANGUAGE`` documents of each language (in expectation, drawn by a hash of
-the id) of at most ``LANGUAGES`` languages, splices runs of words from different documents so that
-there are switches to learn from, and stops at ``SEQUENCES`` of these. Every text is labelled whole,
-in windows of ``WINDOW`` words.
+Training takes about ``PER_LANGUAGE`` different texts of each language that has any (in expectation, drawn by a
+hash of id and text) of at most ``LONGEST`` characters, splices runs of words from different documents so that
+there are switches to learn from, and stops at ``SEQUENCES`` of these a language. Every text is labelled whole,
+in windows of ``WINDOW`` words; ``CONTEXT`` words on both sides of a window are labelled with it and not counted,
+so that words at its ends have their neighbours. Words are runs of letters of any length, taken whole.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text where there is
 nothing to learn from. Ties go to the language that sorts first. Repeated rows stay; other columns
@@ -26,25 +27,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, pieces
+from .common import LONGEST, id_bucket, pieces
 from .vocabulary import Recent
 
 PER_LANGUAGE = 250
-LANGUAGES = 64
-SEQUENCES = 2500
-WINDOW = 512
+SEQUENCES = 625
+WINDOW = 448
+CONTEXT = 32
 HELD_OUT = (4, 2)
 HASHES = 1 << 16
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_LETTERS = regex.compile(r"\p{L}+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. What counts as a number or sign, such as a superscript or a fraction, is none."""
+    words = _WORDS(text.lower())
+    return words if all(map(str.isalpha, words)) else [w for run in words for w in _LETTERS(run)]
 
 
 def word_features(word: str) -> list[int]:
     """Hashed features: the word, its prefixes and suffixes to three letters, its n-grams of two and three."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     names = ["w" + word, *("p" + word[:n] for n in (1, 2, 3)), *("s" + word[-n:] for n in (1, 2, 3))]
     names += ["g" + w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
     return [zlib.crc32(f.encode()) % HASHES for f in names]
@@ -91,15 +100,17 @@ class Field:
 
     def label(self, texts: list[str | None], known: Recent) -> list[tuple[str, float]]:
         """Language and score of each text. ``known`` keeps the emissions of words seen before."""
-        words = [_WORDS((t or "").lower()) for t in texts]
+        words = [words_of(t or "") for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         known.fill({w for row in words for w in row}, lambda fresh: list(self.emissions(fresh)))
-        window, owner = [], []
+        window, owner, inner = [], [], []
         for n, row in enumerate(words):
             for start in range(0, len(row), WINDOW):
-                window.append(row[start : start + WINDOW])
+                before = min(CONTEXT, start)
+                window.append(row[start - before : start + WINDOW + CONTEXT])
                 owner.append(n)
+                inner.append((before, before + min(WINDOW, len(row) - start)))
         total = np.zeros((len(texts), len(self.languages)))
         order = np.argsort([len(w) for w in window], kind="stable") if window else []
         transition, value = np.exp(self.transitions).astype(np.float32), known.young.__getitem__
@@ -110,7 +121,9 @@ class Field:
             for column, i in enumerate(block):
                 emission[: lengths[column], column] = list(map(value, window[i]))
             probability, _ = forward_backward(emission, lengths, transition)
-            probability *= (np.arange(len(emission))[:, None] < lengths)[:, :, None]
+            first, last = np.array([inner[i] for i in block]).T
+            at = np.arange(len(emission))[:, None]
+            probability *= ((first <= at) & (at < last))[:, :, None]
             np.add.at(total, [owner[i] for i in block], probability.sum(0, dtype=np.float64))
         out = []
         for row, sums in zip(words, total, strict=True):
@@ -123,7 +136,7 @@ def spliced(rows: list[tuple[str, int]], rng: np.random.Generator) -> list[tuple
     """Word sequences with a label each: runs of one to thirty words from documents in random order."""
     runs = []
     for text, label in rows:
-        words, at = _WORDS(text.lower()), 0
+        words, at = words_of(text), 0
         while at < len(words):
             size = int(rng.integers(1, 31))
             runs.append((words[at : at + size], label))
@@ -132,7 +145,7 @@ def spliced(rows: list[tuple[str, int]], rng: np.random.Generator) -> list[tuple
     for i in rng.permutation(len(runs)):
         by_label.setdefault(runs[i][1], []).append(runs[i][0])
     out, labels = [], sorted(by_label)
-    while len(out) < SEQUENCES and any(by_label.values()):
+    while len(out) < SEQUENCES * len(labels) and any(by_label.values()):
         words, marks = [], []
         for _ in range(3):
             label = labels[int(rng.integers(len(labels)))]
@@ -193,15 +206,16 @@ def learn(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.2, ridge
 def train(docs: DataFrame) -> Field:
     """A field from documents outside the held-out part that have a text and a language."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_bucket(HELD_OUT[0]) != HELD_OUT[1]))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known = known.where(F.length("text") <= LONGEST).select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # a row a language
     if not counts:
         return Field([], np.zeros((HASHES, 0)), np.zeros((0, 0)))
     rate = F.lit(0.0)
     for r in counts:
         rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_LANGUAGE / r["n"]))).otherwise(rate)
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(draw < rate).select("doc_id", "text", "lang").collect()  # about LANGUAGES x PER_LANGUAGE rows at most
-    return learn([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["text"]))])
+    drawn = known.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < rate)
+    rows = drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).collect()  # about PER_LANGUAGE rows a language; repeated rows are one
+    return learn([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))])
 
 
 def identify(docs: DataFrame, model: Field) -> DataFrame:

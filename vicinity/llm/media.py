@@ -27,6 +27,8 @@ from .common import pieces
 #: Samples in a row of a stored payload: 64 pixels of 3 samples.
 ROW = 192
 TILE = 32
+#: Rows of a picture that are summed at once.
+BAND = 4096
 _NUMBER = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*(\d+)")
 
 
@@ -100,18 +102,32 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each cell's area, whole and partial pixels, from an integral image."""
-    area = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1, pixels.shape[2]))
-    area[1:, 1:] = pixels.cumsum(0, dtype=np.float64).cumsum(1)
+def _rows_of_integral(pixels: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The integral image's rows ``wanted`` (sums of all pixels above), summed down the picture in bands."""
+    places, back = np.unique(wanted, return_inverse=True)
+    out = np.zeros((len(places), *pixels.shape[1:]))
+    total = np.zeros(pixels.shape[1:])
+    for start in range(0, len(pixels), BAND):
+        sums = total + pixels[start : start + BAND].cumsum(0, dtype=np.float64)
+        here = (places > start) & (places <= start + len(sums))
+        out[here] = sums[places[here] - start - 1]
+        total = sums[-1]
+    return out[back]
 
-    def at(table: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), len(table) - 2)
-        part = (edges - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - part) + table[low + 1] * part
 
-    rows = np.diff(at(area, np.linspace(0, pixels.shape[0], height + 1)), axis=0)
-    cells = np.diff(at(rows.swapaxes(0, 1), np.linspace(0, pixels.shape[1], width + 1)), axis=0).swapaxes(0, 1)
+def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of each cell's area, whole and partial pixels, from an integral image of which only the rows at cells' edges are kept."""
+
+    def between(edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        low = np.minimum(edges.astype(np.int64), size - 1)
+        return low, (edges - low).reshape(-1, 1, 1)
+
+    low, part = between(np.linspace(0, pixels.shape[0], height + 1), pixels.shape[0])
+    above = _rows_of_integral(pixels, np.concatenate([low, low + 1]))
+    rows = np.diff(above[: height + 1] * (1 - part) + above[height + 1 :] * part, axis=0)
+    sums = np.concatenate([np.zeros((1, height, pixels.shape[2])), rows.swapaxes(0, 1).cumsum(0)])
+    low, part = between(np.linspace(0, pixels.shape[1], width + 1), pixels.shape[1])
+    cells = np.diff(sums[low] * (1 - part) + sums[low + 1] * part, axis=0).swapaxes(0, 1)
     return cells * (height * width / (pixels.shape[0] * pixels.shape[1]))
 
 
@@ -122,7 +138,7 @@ def grey(pixels: np.ndarray) -> np.ndarray:
 
 def difference_hash(pixels: np.ndarray) -> str:
     """64 bits: is a cell of an 8 by 9 grey image darker than the one to its right?"""
-    small = np.round(resize(grey(pixels), 8, 9)[:, :, 0], 6)
+    small = np.round(grey(resize(pixels, 8, 9))[:, :, 0], 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 

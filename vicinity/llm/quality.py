@@ -3,8 +3,8 @@
 Score: a logistic of w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2); the second
 sum has all pairwise interactions and takes time linear in the features of the text.
 
-At most ``PER_CLASS`` labelled texts of each class (in expectation) are learnt from, drawn by a hash
-of the id, so the driver's work does not grow with the corpus. A null text counts as empty; an empty
+At most ``PER_CLASS`` labelled texts of each class (in expectation) of up to ``common.LONGEST`` characters are
+learnt from, drawn by a hash of the id, so the driver's work does not grow with the corpus. A null text counts as empty; an empty
 text is scored by its size alone. Without labelled rows every score is 0.5. Repeated rows stay;
 other columns are ignored.
 """

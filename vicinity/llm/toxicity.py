@@ -6,8 +6,10 @@ phrase does not count. The weights of the found terms are summed and normalised
 the text; a logistic of both numbers is the score.
 
 The lexicon starts from ``SEEDS`` and gets weights, and further terms, from labelled texts: the
-log-odds of a term's presence in toxic and other texts. At most ``PER_CLASS`` texts of each class
-(in expectation) are learnt from, drawn by a hash of the id; that bounds what the driver holds.
+log-odds of a term's presence in toxic and other texts. At most ``LEARNT`` further terms are taken, those of
+the largest log-odds: more fit the sample, not the language. At most ``PER_CLASS`` texts of each class (in
+expectation) of up to ``common.LONGEST`` characters are learnt from, drawn by a hash of the id; that bounds what
+the driver holds.
 
 A null or empty text, and one without a term, gets the score of no term at all. Without labelled
 rows of both classes the seeds count alike. Repeated rows stay; other columns are ignored.

@@ -9,8 +9,8 @@ import numpy as np
 import regex
 
 NO_PAIR = np.int32(2**31 - 1)
-#: Rows longer than this are merged one at a time, with block minima instead of a padded matrix.
-MATRIX_WIDTH = 512
+#: Rows longer than this are merged one at a time, with block minima: in a matrix, every round looks at the whole row.
+MATRIX_WIDTH = 2048
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 20
 
