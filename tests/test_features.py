@@ -110,12 +110,33 @@ def test_rejects(spark, path, value, message):
 def test_json_round_trip(spark, tmp_path):
     rows = frame(spark, LEGIT, FRAUD)
     rows.select(payloads.to_text(F.struct("*")).alias("value")).write.text(str(tmp_path / "p"))
-    assert sorted(payloads.read_payloads(spark, str(tmp_path / "p")).collect(), key=str) == sorted(rows.collect(), key=str)
+    found = payloads.read_payloads(spark, str(tmp_path / "p"))
+    assert sorted(found.drop("unreadable").collect(), key=str) == sorted(rows.collect(), key=str) and not any(r.unreadable for r in found.collect())
     assert rows.schema == PAYLOAD and "last_transaction_timestamp" in payloads.flat(rows).columns
     assert rows.select(installment_value().alias("v")).first().v == 20.56
     assert rows.select(new_transaction_id().alias("v")).first().v.startswith("tx-")
 
 
+def test_unreadable_records_are_rejected(spark, tmp_path):
+    """Neither batch nor column of texts loses them."""
+    (text,) = (r.value for r in frame(spark, LEGIT).select(payloads.to_text(F.struct("*")).alias("value")).collect())
+    lines = [text, '{"id": "x", "transaction": ', "no json", '{"id": "tx-1", "transaction": {"amount": "many"}}']
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    texts = spark.createDataFrame([(line,) for line in lines] + [(None,)], "value string")
+    for rows, broken in ((payloads.read_payloads(spark, str(tmp_path / "in.json")), 3), (payloads.parse_payloads(texts, unreadable=True), 4)):
+        good, bad = split_payloads(rows)
+        assert good.schema == PAYLOAD and good.count() == 1
+        assert [r.errors for r in bad.collect()] == [["record is not readable"]] * broken
+        assert {r.unreadable for r in bad.collect()} >= set(lines[1:])
+
+
+def test_positions_in_several_files(spark, tmp_path):
+    for n, name in enumerate("cab"):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"vector": [float(n)] * 14, "label": f"{name}{i}"} for i in range(3)]))
+    found = {r.label: r.ref_id for r in references.read_reference_json(spark, str(tmp_path)).collect()}
+    assert found == {f"{name}{i}": (n << 32) + i for n, name in enumerate("abc") for i in range(3)}
+
+
 def test_references(spark, tmp_path):
     good = [{"vector": [0.1] * 14, "label": "FRAUD"}, {"vector": [0.2] * 14, "label": "legit"}, None]
     (tmp_path / "refs.json").write_text(json.dumps(good))

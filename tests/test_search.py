@@ -69,9 +69,35 @@ def test_queries_in_several_blocks(data, monkeypatch, strategy):
     queries, refs, q, r = data
     monkeypatch.setattr(search, "BLOCK", 7)
     monkeypatch.setattr(search, "BATCH", 11)
+    monkeypatch.setattr(search, "GRID_QUERIES", 9)
+    monkeypatch.setattr(search, "GRID_REFS", 70)
     assert rows_of(knn(q, r, 5, strategy)) == plain(queries, refs, 5)
 
 
+@pytest.mark.parametrize("kind", ["cells", "boxes"])
+def test_queries_of_one_cell_are_dealt_out(data, monkeypatch, kind):
+    queries, refs, q, r = data
+    monkeypatch.setattr(cells, "GRID_QUERIES", 4)
+    monkeypatch.setattr(cells, "PART", 50)
+    assert rows_of(cells.search(q, cells.build(r, kind, leaf_rows=100), 5, 14)) == plain(queries, refs, 5)
+
+
+def test_auto_follows_the_index_and_the_number_of_queries(data, monkeypatch):
+    _, _, q, r = data
+    assert search.chosen(q, "auto") == "scan" and search.chosen(q, "auto", cells.build(r, "boxes")) == "boxes" and search.chosen(q, "Keyed") == "keyed"
+    monkeypatch.setattr(search, "BLOCK", 7)
+    assert search.chosen(q, "auto") == search.chosen(q, "no such") == "cells"
+
+
+def test_fifty_thousand_queries(spark, monkeypatch):
+    """No query reaches the driver; the answers are those of the cells."""
+    refs, queries = generate.generate_references(spark, 1500, 42, 0.35).persist(), vectorize(generate.generate_payloads(spark, 50_000, 7, 0.47)).persist()
+    monkeypatch.setattr(search, "_sent", None)
+    total = lambda found: found.agg(F.count("*"), F.sum("ref_id"), F.sum(F.round("d2", 9))).first()
+    a, b = total(knn(queries, refs, strategy="scan")), total(knn(queries, refs, strategy="cells", index=cells.build(refs, "cells", leaf_rows=100)))
+    assert a[0] == b[0] == 250_000 and a[1] == b[1] and a[2] == pytest.approx(b[2])
+
+
 def test_k_must_be_positive(data):
     with pytest.raises(ValueError):
         knn(data[2], data[3], 0)
@@ -121,6 +147,49 @@ def test_index_on_disk(spark, data, tmp_path):
     assert open_index(spark, path).rows.count() == 100
 
 
+def test_a_crash_leaves_the_version_before(spark, data, tmp_path, monkeypatch):
+    from vicinity.sources import index as store
+
+    queries, refs, q, r = data
+    path = str(tmp_path / "index")
+    ensure_index(r, path, leaf_rows=40)
+    few = r.where("ref_id < 100")
+    monkeypatch.setattr(store, "fingerprint", lambda rows: (_ for _ in ()).throw(OSError("no")))
+    with pytest.raises(OSError):
+        store.write_index(cells.build(few, "cells", leaf_rows=40), few, path, 40, 14)  # rows and cells are there, the description is not
+    monkeypatch.undo()
+    assert index_ready(spark, path) and rows_of(knn(q, r, 5, index=open_index(spark, path))) == plain(queries, refs, 5)
+    folder = store.describe(spark, path)["folder"]
+    for part in list((tmp_path / "index" / folder / "rows").rglob("*.parquet"))[:1]:
+        part.unlink()
+    assert not index_ready(spark, path)
+    ensure_index(r, path, leaf_rows=40)
+    assert index_ready(spark, path)
+
+
+def test_one_builder_at_a_time(spark, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    from vicinity.sources import index as store
+
+    path, seen = str(tmp_path / "index"), []
+
+    def work(n):
+        with store.lock(spark, path):
+            seen.append(n)
+            time.sleep(0.3)
+            seen.append(n)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in range(3)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert seen[::2] == seen[1::2]
+    (tmp_path / "index" / "lock").write_text("")
+    monkeypatch.setattr(store, "LOCK_SECONDS", -1)
+    work(9)
+    assert seen[-2:] == [9, 9]
+
+
 def test_cell_bounds_hold_their_rows(data):
     for kind in ("cells", "boxes"):
         index = cells.build(data[3], kind, leaf_rows=30)

@@ -44,14 +44,17 @@ def payload_rules() -> list[tuple[str, Column]]:
 
 
 def checked_payloads(payloads: DataFrame) -> DataFrame:
-    """``payloads`` with ``errors``."""
-    return payloads.withColumn("errors", errors(payload_rules()))
+    """``payloads`` with ``errors``; a record that could not be read has that one only."""
+    found = errors(payload_rules())
+    if "unreadable" in payloads.columns:
+        found = F.when(F.col("unreadable").isNotNull(), F.array(F.lit("record is not readable"))).otherwise(found)
+    return payloads.withColumn("errors", found)
 
 
 def split_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid payloads, and rejected ones with their errors."""
     rows = checked_payloads(payloads)
-    return rows.where(F.size("errors") == 0).drop("errors"), rows.where(F.size("errors") > 0)
+    return rows.where(F.size("errors") == 0).drop("errors", "unreadable"), rows.where(F.size("errors") > 0)
 
 
 def reference_rules(dims: int = DIMENSIONS) -> list[tuple[str, Column]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import squared_distance
-from .knn import NEIGHBOUR_SCHEMA, Best, best, distances
+from .knn import GRID_QUERIES, NEIGHBOUR_SCHEMA, Best, best, distances, parts_of, stored
 
 #: Rows that the shape of the cells is learnt from, and the most cells there may be; both bound what goes to all tasks.
 SAMPLE = 20_000
@@ -82,7 +82,7 @@ def build(refs: DataFrame, kind: str = "cells", dims: int = 14, leaf_rows: int =
             v = np.asarray(b.column("vector").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
             yield pa.RecordBatch.from_arrays([b.column("ref_id"), b.column("vector"), b.column("is_fraud"), pa.array(place(v).astype(np.int64))], ["ref_id", "vector", "is_fraud", "cell_id"])
 
-    rows = refs.selectExpr("cast(ref_id as bigint) ref_id", "cast(vector as array<double>) vector", "is_fraud").mapInArrow(run, "ref_id long, vector array<double>, is_fraud boolean, cell_id long").persist()
+    rows = stored(refs.selectExpr("cast(ref_id as bigint) ref_id", "cast(vector as array<double>) vector", "is_fraud").mapInArrow(run, "ref_id long, vector array<double>, is_fraud boolean, cell_id long"))
     return Index(rows, bounds(rows, kind, dims), kind)
 
 
@@ -113,7 +113,10 @@ def _reach(q: np.ndarray, table: pa.Table, kind: str, dims: int) -> tuple[np.nda
 
 
 def search(queries: DataFrame, index: Index, k: int, dims: int) -> DataFrame:
-    """Exact neighbours. The nearest cells that hold k rows bound the k-th distance; cells beyond it are left out."""
+    """Exact neighbours. The nearest cells that hold k rows bound the k-th distance; cells beyond it are left out.
+
+    A task compares at most ``PART`` rows of a cell with ``GRID_QUERIES`` of the queries, whichever cell they want.
+    """
     table = index.cells.toArrow()  # at most MOST_CELLS rows, or twice as many boxes
     sizes = np.asarray(table.column("n"), np.int64)
     kind = queries.schema["query_id"].dataType.simpleString()
@@ -137,15 +140,19 @@ def search(queries: DataFrame, index: Index, k: int, dims: int) -> DataFrame:
     if not len(sizes):
         return best(queries.select("query_id", F.lit(0).cast("long").alias("ref_id"), F.lit(0.0).alias("d2"), F.lit(False).alias("is_fraud")).where("false"), k)
     wanted = queries.selectExpr("query_id", "cast(vector as array<double>) vector").mapInArrow(run, f"query_id {kind}, q array<double>, cell_id long")
+    blocks = parts_of(queries.count(), GRID_QUERIES)
     parts = index.cells.select("cell_id", F.ceil(F.col("n") / PART).alias("parts"))
-    dealt = wanted.join(F.broadcast(parts), "cell_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("query_id", "q", "cell_id", "part")
-    rows = index.rows.join(F.broadcast(parts), "cell_id").withColumn("part", F.pmod(F.xxhash64("ref_id"), "parts")).select("ref_id", "vector", "is_fraud", "cell_id", "part")
+    to = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    asked = wanted.join(F.broadcast(parts), "cell_id").withColumn("part", to(F.col("parts") - 1)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    rows = index.rows.join(F.broadcast(parts), "cell_id").withColumn("part", F.pmod(F.xxhash64("ref_id"), "parts")).withColumn("block", to(F.lit(blocks - 1).cast("long")))
 
     def compare(some: pa.Table, among: pa.Table) -> pa.Table:
         matrix = lambda column: np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
         near = Best(matrix(some.column("q")), k)
-        near.add(matrix(among.column("vector")), np.asarray(among.column("ref_id"), np.int64), np.asarray(among.column("is_fraud").to_pylist(), bool))
+        if len(some):
+            near.add(matrix(among.column("vector")), np.asarray(among.column("ref_id"), np.int64), np.asarray(among.column("is_fraud").to_pylist(), bool))
         return pa.Table.from_batches([near.batch(some.column("query_id").combine_chunks())])
 
-    grouped = dealt.groupBy("cell_id", "part").cogroup(rows.groupBy("cell_id", "part"))
+    of = ("cell_id", "part", "block")
+    grouped = asked.select("query_id", "q", *of).groupBy(*of).cogroup(rows.select("ref_id", "vector", "is_fraud", *of).groupBy(*of))
     return best(grouped.applyInArrow(compare, NEIGHBOUR_SCHEMA.format(id=kind)), k)

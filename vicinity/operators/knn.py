@@ -4,8 +4,9 @@ All take ``queries`` (query_id, vector) and ``refs`` (ref_id, vector, is_fraud)
 ref_id, d2, is_fraud, rank``: the ``k`` references of least (squared distance, ref_id) of each query.
 Squared distances are added from the first dimension to the last in 64-bit floats, whatever the way.
 
-``scan``   queries in blocks of bounded size go to all tasks; each batch of references keeps its best k
-           for every query, so only k rows a query and task are shuffled. The default.
+``scan``   up to ``BLOCK`` queries, which is counted, go to all tasks and references stay where they are; more are
+           dealt into blocks and references into parts, and each task compares one block with one part. Either way
+           only the best k of a query and task are shuffled on, and nothing grows in the driver.
 ``brute``  the same as a join in generated code with a ranking window; all pairs reach the window.
 ``keyed``  scan, but only between vectors that agree on whether there is a last transaction and on
            three flags: others are at a squared distance of 1 or more. Queries whose k-th distance
@@ -13,12 +14,12 @@ Squared distances are added from the first dimension to the last in 64-bit float
 ``cells``  references filed under cells with centre and radius; a query meets only cells whose bound
            allows a neighbour. For stores that are searched again and again.
 ``boxes``  the same with boxes.
+``auto``   the kind of the index, if there is one; else scan for up to ``BLOCK`` queries, cells for more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from ..config import DIMENSIONS, NEIGHBOURS
 from ..functions.kernels import squared_distance
 
-#: Queries that are sent to all tasks at once.
+#: Queries that may be sent to all tasks.
 BLOCK = 4096
+#: Queries and references that one task compares, where there are more queries.
+GRID_QUERIES, GRID_REFS = 16_384, 131_072
 #: References compared with a block at a time.
 BATCH = 1024
 NEIGHBOUR_SCHEMA = "query_id {id}, ref_id long, d2 double, is_fraud boolean"
@@ -42,15 +45,25 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "ref_id", "d2", "is_fraud", "rank")
 
 
+def parts_of(n: int, size: int) -> int:
+    return max(1, -(-n // size))
+
+
+def dealt(rows: DataFrame, key: str, own: str, n: int, other: str, copies: int) -> DataFrame:
+    """``rows`` dealt by their key into ``n`` numbers ``own``, each with every number of ``other``."""
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)).cast("array<bigint>"))
+    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, numbers)
+
+
 def brute(queries: DataFrame, refs: DataFrame, k: int, dims: int) -> DataFrame:
-    """Blocks of queries joined to all references on the block's number."""
-    n = max(1, -(-queries.count() // BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    q = queries.select("query_id", F.col("vector").alias("q"), block.alias("block"))
+    """Blocks of queries joined to parts of the references on both numbers."""
+    n = parts_of(queries.count(), BLOCK)
+    parts = 1 if n == 1 else queries.sparkSession.sparkContext.defaultParallelism
+    q = dealt(queries.select("query_id", F.col("vector").alias("q")), "query_id", "block", n, "part", parts)
     if n == 1:
         q = F.broadcast(q)
-    r = refs.select("ref_id", F.col("vector").alias("r"), "is_fraud", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("block"))
-    pairs = r.join(q, "block").select("query_id", "ref_id", squared_distance(F.col("q"), F.col("r"), dims).alias("d2"), "is_fraud")
+    r = dealt(refs.select("ref_id", F.col("vector").alias("r"), "is_fraud"), "ref_id", "part", parts, "block", n)
+    pairs = r.join(q, ["block", "part"]).select("query_id", "ref_id", squared_distance(F.col("q"), F.col("r"), dims).alias("d2"), "is_fraud")
     return best(pairs, k)
 
 
@@ -122,50 +135,86 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
 
 
+def _compare(near: Best, r: np.ndarray, ids: np.ndarray, fraud: np.ndarray, keyed: bool) -> None:
+    """References for all queries, or with ``keyed`` for those of the same key."""
+    if not keyed:
+        near.add(r, ids, fraud)
+        return
+    mine, theirs = _keys(near.queries), _keys(r)
+    for key in np.intersect1d(mine, theirs):
+        among = theirs == key
+        near.add(r[among], ids[among], fraud[among], np.flatnonzero(mine == key))
+
+
+def _flags(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.to_pylist(), bool)
+
+
 def scan(queries: DataFrame, refs: DataFrame, k: int, dims: int, keyed: bool = False) -> DataFrame:
-    """Blocks of queries against batches of references in numpy, the best k of each first."""
-    kind = queries.schema["query_id"].dataType.simpleString()
-    schema = NEIGHBOUR_SCHEMA.format(id=kind)
-    n = max(1, -(-queries.count() // BLOCK))
-    found = []
-    for block in range(n):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block) if n > 1 else queries
-        sent = part.select("query_id", "vector").toArrow()
-        ids, matrix = sent.column("query_id"), _matrix(sent.column("vector"), dims)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            near = Best(matrix, k)
-            by_key = {key: np.flatnonzero(_keys(matrix) == key) for key in np.unique(_keys(matrix))} if keyed else {}
-            for b in batches:
-                r, r_ids, fraud = _matrix(b.column("vector"), dims), b.column("ref_id").to_numpy(zero_copy_only=False), np.asarray(b.column("is_fraud").to_pylist(), bool)
-                if not keyed:
-                    near.add(r, r_ids, fraud)
-                for key, only in by_key.items():
-                    among = _keys(r) == key
-                    near.add(r[among], r_ids[among], fraud[among], only)
-            yield near.batch(ids.combine_chunks())
-
-        found.append(refs.select("ref_id", "vector", "is_fraud").mapInArrow(run, schema))
-    return best(reduce(DataFrame.unionAll, found), k)
+    """All queries against all references in numpy, the best k of each task first."""
+    schema = NEIGHBOUR_SCHEMA.format(id=queries.schema["query_id"].dataType.simpleString())
+    queries = queries.selectExpr("query_id", "cast(vector as array<double>) vector")
+    refs = refs.selectExpr("cast(ref_id as bigint) ref_id", "cast(vector as array<double>) vector", "is_fraud")
+    n = queries.count()
+    if n <= BLOCK:
+        return best(_sent(queries, refs, k, dims, keyed, schema), k)
+    blocks, parts = parts_of(n, GRID_QUERIES), parts_of(refs.count(), GRID_REFS)
+    q = dealt(queries, "query_id", "block", blocks, "part", parts)
+    r = dealt(refs, "ref_id", "part", parts, "block", blocks)
+
+    def compare(some: pa.Table, among: pa.Table) -> pa.Table:
+        near = Best(_matrix(some.column("vector"), dims), k)
+        _compare(near, _matrix(among.column("vector"), dims), among.column("ref_id").to_numpy(), _flags(among.column("is_fraud")), keyed)
+        return pa.Table.from_batches([near.batch(some.column("query_id").combine_chunks())])
+
+    return best(q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInArrow(compare, schema), k)
+
+
+def _sent(queries: DataFrame, refs: DataFrame, k: int, dims: int, keyed: bool, schema: str) -> DataFrame:
+    """Queries, at most ``BLOCK``, as part of the task; references in batches as they are read."""
+    sent = queries.toArrow()
+    ids, matrix = sent.column("query_id").combine_chunks(), _matrix(sent.column("vector"), dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Best(matrix, k)
+        for b in batches:
+            _compare(near, _matrix(b.column("vector"), dims), b.column("ref_id").to_numpy(zero_copy_only=False), _flags(b.column("is_fraud")), keyed)
+        yield near.batch(ids)
+
+    return refs.mapInArrow(run, schema)
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once: in the checkpoint folder, where the session names one."""
+    spark = rows.sparkSession
+    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else rows.persist()
 
 
 def keyed(queries: DataFrame, refs: DataFrame, k: int, dims: int) -> DataFrame:
     """Scan between vectors of one key; queries that this does not settle are scanned in full."""
     if dims != DIMENSIONS:
         raise ValueError("keyed search is for the fourteen features")
-    near = scan(queries, refs, k, dims, keyed=True).persist()
+    near = stored(scan(queries, refs, k, dims, keyed=True))  # k rows a query
     settled = near.where((F.col("rank") == k) & (F.col("d2") < 1)).select("query_id")
     rest = queries.join(settled, "query_id", "left_anti")
     return near.join(settled, "query_id", "left_semi").unionAll(scan(rest, refs, k, dims))
 
 
+def chosen(queries: DataFrame, strategy: str, index=None) -> str:
+    """The strategy of a name: the index's kind, or by the number of queries, for ``auto`` and names that are not known."""
+    strategy = strategy.lower()
+    if strategy in STRATEGIES:
+        return strategy
+    if index is not None:
+        return index.kind
+    return "scan" if queries.limit(BLOCK + 1).count() <= BLOCK else "cells"
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int = NEIGHBOURS, strategy: str = "auto", dims: int = DIMENSIONS, index=None) -> DataFrame:
     """The k nearest references of each query. ``index``: for cells and boxes, else built on the fly."""
     if k <= 0:
         raise ValueError("k must be positive")
-    strategy = strategy.lower()
-    if strategy not in STRATEGIES:
-        strategy = "scan"  # "auto", and names that are not known
+    strategy = chosen(queries, strategy, index)
     if strategy in ("cells", "boxes"):
         from . import cells
 
