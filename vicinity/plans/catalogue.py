@@ -22,6 +22,7 @@ from ..operators.decide import analyze, decide, vote
 from ..operators.knn import knn
 from ..schemas import PAYLOAD
 from ..sources import generate, payloads
+from . import generated_sql
 
 DIMS = 64
 # Risk of event types; one type is left out for the default.
@@ -181,13 +182,11 @@ def fraud_decision_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(knn_vote(spark, sf_dir), 0.4)
 
 
-def _first_vector(spark: SparkSession, sf_dir: str) -> Column:
-    return F.array(*map(F.lit, _vectors(spark, sf_dir).where("ref_id = 0").first()["vector"]))
-
-
 def _against_first(name: str, kernel):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _vectors(spark, sf_dir).select(F.col("ref_id").alias("vec_id"), _six(kernel(F.col("vector"), _first_vector(spark, sf_dir), DIMS)).alias(name))
+        rows = _vectors(spark, sf_dir)
+        first = rows.where("ref_id = 0").select(F.col("vector").alias("first"))  # one row
+        return rows.join(F.broadcast(first)).select(F.col("ref_id").alias("vec_id"), _six(kernel(F.col("vector"), F.col("first"), DIMS)).alias(name))
 
     return run
 
@@ -220,8 +219,8 @@ def dim_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hyperplane_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides of the plane between the first two vectors."""
     rows = _vectors(spark, sf_dir)
-    pivots = {r["ref_id"]: F.array(*map(F.lit, r["vector"])) for r in rows.where("ref_id in (0, 1)").collect()}
-    return rows.groupBy(aggregates.side(F.col("vector"), pivots[0], pivots[1], DIMS).alias("first_side")).agg(F.count("*").alias("n"))
+    pivots = rows.agg(*(F.max(F.when(F.col("ref_id") == n, F.col("vector"))).alias(f"pivot{n}") for n in (0, 1)))  # one row
+    return rows.join(F.broadcast(pivots)).groupBy(aggregates.side(F.col("vector"), F.col("pivot0"), F.col("pivot1"), DIMS).alias("first_side")).agg(F.count("*").alias("n"))
 
 
 def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,11 +254,10 @@ def minutes_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is this key among the keys of the user's first ten events?"""
+    """Is this key among the keys of all earlier events of the user?"""
     e = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
-    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    known = e.withColumn("turn", turn).where("turn <= 10").groupBy("user_id").agg(F.collect_set("k").alias("known"))
-    return e.join(known, "user_id").select("event_id", unknown_merchant(F.col("known"), F.col("k")).alias("unknown"))
+    before = F.lag("k").over(Window.partitionBy("user_id", "k").orderBy("ts", "event_id"))  # the key itself, if it was seen before
+    return e.withColumn("before", before).select("event_id", unknown_merchant(F.array("before"), F.col("k")).alias("unknown"))
 
 
 def validation_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,8 +323,7 @@ def p99_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two cases: the failures as counted, and without errors or false alarms."""
-    latency = evaluate.p99(_table(spark, sf_dir, "events"), "value").first()["p99"]
-    counts = confusion_matrix(spark, sf_dir).withColumn("p99", F.lit(latency))
+    counts = confusion_matrix(spark, sf_dir).join(evaluate.p99(_table(spark, sf_dir, "events"), "value"))  # one row each
     both = counts.withColumn("case", F.lit("all")).unionByName(counts.withColumns({"case": F.lit("misses"), "fp": F.lit(0).cast("bigint"), "err": F.lit(0).cast("bigint")}))
     rows = evaluate.detection_score(both)
     return rows.select("case", "weighted_errors", *(_six(F.col(c)).alias(c) for c in ("epsilon", "failure_rate", "p99_score", "detection_score", "final_score")))
@@ -357,8 +354,44 @@ def file_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+#: Number, seed and share of fraud of generated payloads and references.
+PAYLOADS, REFERENCES = (500, 4242, 0.47), (20_000, 42, 0.35)
+
+
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share: where the session keeps checkpoints, else its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References written as a checked store and read back, filed in an index on disk, opened and searched."""
+    from ..sources import index, references
+
+    queries, refs = _event_sides(spark, sf_dir)
+    home = _shared_folder(spark, "store")
+    labelled = refs.select("ref_id", "vector", F.when(F.col("is_fraud"), "FRAUD").otherwise("legit").alias("label"))
+    references.write_store(labelled, f"{home}/refs", expected=refs.count())
+    found = index.ensure_index(references.read_store(spark, f"{home}/refs"), f"{home}/index", leaf_rows=512)
+    return knn(queries, refs, 5, index=found).withColumn("d2", _six(F.col("d2")))
+
+
+def reference_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled vectors written as gzipped JSON, read back and checked: those that fit, and why others don't."""
+    from ..sources import references
+
+    home = _shared_folder(spark, "refs")
+    vectors = _vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, F.when(F.col("ref_id") % 10 == 0, 13).otherwise(14)))
+    labelled = vectors.select("vector", F.when(F.col("ref_id") % 7 > 0, F.when(F.col("label") % 3 == 0, "Fraud").otherwise("legit")).alias("label"))
+    labelled.write.option("compression", "gzip").json(f"{home}/in")
+    rows = spark.read.schema("vector array<double>, label string").json(f"{home}/in").withColumn("ref_id", F.monotonically_increasing_id())
+    good, bad = references.split_references(rows)
+    fine = references.encoded(good).groupBy(F.when(F.col("is_fraud"), "fraud").otherwise("legit").alias("kind")).agg(F.count("*").alias("n"))
+    return fine.unionByName(bad.groupBy(F.concat_ws("; ", "errors").alias("kind")).agg(F.count("*").alias("n")))
+
+
 def generated_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generate.generate_payloads(spark, 20_000, 42, 0.35)
+    rows = generate.generate_payloads(spark, *REFERENCES)
     return rows.groupBy("profile").agg(F.count("*").alias("n"), F.min("transaction.amount").alias("least"), F.max("transaction.amount").alias("most"), F.count_if(F.col("last_transaction").isNull()).alias("first_ones"))
 
 
@@ -366,17 +399,16 @@ def generated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated payloads labelled by their neighbours among generated references."""
     from ..operators.decide import score
 
-    return score(generate.generate_payloads(spark, 500, 4242, 0.47), generate.generate_references(spark, 20_000, 42, 0.35), strategy="keyed")
+    return score(generate.generate_payloads(spark, *PAYLOADS), generate.generate_references(spark, *REFERENCES), strategy="keyed")
 
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions from a stream of JSON files, in a folder that all machines share."""
     from ..streaming.score import parquet_sink, score_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    home = f"{base}/stream-{uuid.uuid4().hex}"
-    generate.generate_payloads(spark, 500, 4242, 0.47).drop("profile", "coin").write.option("ignoreNullFields", "false").json(f"{home}/in")
-    refs = generate.generate_references(spark, 20_000, 42, 0.35)
+    home = _shared_folder(spark, "stream")
+    generate.generate_payloads(spark, *PAYLOADS).drop("profile", "coin").write.option("ignoreNullFields", "false").json(f"{home}/in")
+    refs = generate.generate_references(spark, *REFERENCES)
     running = score_stream(payloads.stream_payloads(spark, f"{home}/in"), refs, parquet_sink(f"{home}/out"), f"{home}/state", strategy="keyed")
     running.awaitTermination()
     return spark.read.parquet(f"{home}/out").drop("batch")
@@ -426,8 +458,8 @@ count(*) FILTER (WHERE NOT approved) AS fraud_count, count(*) FILTER (WHERE appr
     "minutes_since_last": (minutes_since_last, "SELECT event_id, coalesce(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 6e7 * 1e6 + 0.5e0) / 1e6, -1e0) AS minutes FROM events"),
     "known_merchant": (
         known_merchant,
-        """WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events), s AS (SELECT DISTINCT user_id, k FROM e WHERE turn <= 10)
-SELECT e.event_id, CASE WHEN s.k IS NULL THEN 1e0 ELSE 0e0 END AS unknown FROM e LEFT JOIN s ON s.user_id = e.user_id AND s.k = e.k""",
+        """WITH e AS (SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM e p WHERE p.user_id = e.user_id AND p.k = e.k AND (p.ts < e.ts OR (p.ts = e.ts AND p.event_id < e.event_id))) THEN 0e0 ELSE 1e0 END AS unknown FROM e""",
     ),
     "validation_rejects": (
         validation_rejects,
@@ -464,9 +496,15 @@ FROM (VALUES (1, 30, 1, 100), (2, 60, 100, 400), (3, 120, 400, 900)) t(stage, du
 SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM o)""",
     ),
     "file_checksum": (file_checksum, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
-    "generated_stats": (generated_stats, None),
-    "generated_labels": (generated_labels, None),
-    "stream_score": (stream_score, None),
+    "generated_stats": (generated_stats, generated_sql.statistics(*REFERENCES)),
+    "generated_labels": (generated_labels, generated_sql.decisions(PAYLOADS, REFERENCES)),
+    "stream_score": (stream_score, generated_sql.decisions(PAYLOADS, REFERENCES)),
+    "stored_neighbors": (stored_neighbors, _event_knn_sql(5) + _EVENT_NEIGHBOURS),
+    "reference_file": (
+        reference_file,
+        """SELECT CASE WHEN vec_id % 10 = 0 AND vec_id % 7 = 0 THEN 'wrong number of dimensions; label is missing' WHEN vec_id % 10 = 0 THEN 'wrong number of dimensions' WHEN vec_id % 7 = 0 THEN 'label is missing'
+WHEN label % 3 = 0 THEN 'fraud' ELSE 'legit' END AS kind, count(*) AS n FROM embeddings GROUP BY 1""",
+    ),
 }
 
 

@@ -14,10 +14,13 @@ ANY_MCC = ["5411", "5812", "5912", "5944", "7801", "7802", "7995", "4511", "5311
 
 
 def _draws(seed: int):
-    """Uniform numbers below 1, and whole numbers below an upper end, by field."""
+    """Uniform numbers below 1, and whole numbers below an upper end, by field.
+
+    They are the first 52 bits of MD5 sums, which other engines have too.
+    """
 
     def uniform(field: str) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(field), F.col("n")), F.lit(1 << 53)) / float(1 << 53)
+        return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{field}:"), F.col("n").cast("string"))), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
 
     def whole(field: str, low: int, high: int) -> Column:
         return F.floor(uniform(field) * (high - low)).cast("int") + low
