@@ -112,13 +112,15 @@ def _reach(q: np.ndarray, table: pa.Table, kind: str, dims: int) -> tuple[np.nda
     return np.maximum(gap - radius, 0), gap + radius
 
 
-def search(queries: DataFrame, index: Index, k: int, dims: int) -> DataFrame:
-    """Exact neighbours. The nearest cells that hold k rows bound the k-th distance; cells beyond it are left out.
+def wanted(queries: DataFrame, index: Index, k: int, dims: int) -> DataFrame | None:
+    """``query_id``, ``q`` and ``cell_id`` of the cells that each query must meet; None without references.
 
-    A task compares at most ``PART`` rows of a cell with ``GRID_QUERIES`` of the queries, whichever cell they want.
+    The nearest cells that hold k rows bound the k-th distance; cells beyond it are left out.
     """
     table = index.cells.toArrow()  # at most MOST_CELLS rows, or twice as many boxes
     sizes = np.asarray(table.column("n"), np.int64)
+    if not len(sizes):
+        return None
     kind = queries.schema["query_id"].dataType.simpleString()
     shape = index.kind
 
@@ -137,13 +139,25 @@ def search(queries: DataFrame, index: Index, k: int, dims: int) -> DataFrame:
                 ids = np.asarray(table.column("cell_id"), np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(who)), b.column("vector").take(pa.array(who)), pa.array(ids[cell])], ["query_id", "q", "cell_id"])
 
-    if not len(sizes):
+    return queries.selectExpr("query_id", "cast(vector as array<double>) vector").mapInArrow(run, f"query_id {kind}, q array<double>, cell_id long")
+
+
+def pairs_compared(queries: DataFrame, index: Index, k: int, dims: int) -> int:
+    """How many pairs a search compares, of all that a scan does."""
+    found = wanted(queries, index, k, dims)
+    return 0 if found is None else found.join(F.broadcast(index.cells.select("cell_id", "n")), "cell_id").agg(F.sum("n")).first()[0] or 0
+
+
+def search(queries: DataFrame, index: Index, k: int, dims: int) -> DataFrame:
+    """Exact neighbours. A task compares at most ``PART`` rows of a cell with ``GRID_QUERIES`` of the queries, whichever cell they want."""
+    met = wanted(queries, index, k, dims)
+    if met is None:
         return best(queries.select("query_id", F.lit(0).cast("long").alias("ref_id"), F.lit(0.0).alias("d2"), F.lit(False).alias("is_fraud")).where("false"), k)
-    wanted = queries.selectExpr("query_id", "cast(vector as array<double>) vector").mapInArrow(run, f"query_id {kind}, q array<double>, cell_id long")
+    kind = queries.schema["query_id"].dataType.simpleString()
     blocks = parts_of(queries.count(), GRID_QUERIES)
     parts = index.cells.select("cell_id", F.ceil(F.col("n") / PART).alias("parts"))
     to = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
-    asked = wanted.join(F.broadcast(parts), "cell_id").withColumn("part", to(F.col("parts") - 1)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    asked = met.join(F.broadcast(parts), "cell_id").withColumn("part", to(F.col("parts") - 1)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     rows = index.rows.join(F.broadcast(parts), "cell_id").withColumn("part", F.pmod(F.xxhash64("ref_id"), "parts")).withColumn("block", to(F.lit(blocks - 1).cast("long")))
 
     def compare(some: pa.Table, among: pa.Table) -> pa.Table:
