@@ -81,23 +81,37 @@ def test_parts_of_a_shard_connect_what_pairs_connect(spark, monkeypatch):
     monkeypatch.setattr(linking, "OTHERS", 2)
     values = [1, 2, 3, 10, 11, 12, 13, 20, 30, 31, 32, 33, 34]
     chain = lambda a, b: abs(a - b) == 1
-    met = []
 
     def near(pairs):
-        rows = [(r.a, r.b) for r in pairs.collect()]
-        met.extend(rows)
-        return spark.createDataFrame([p for p in rows if chain(*p)], "a long, b long")
+        return spark.createDataFrame([(r.a, r.b) for r in pairs.collect() if chain(r.a, r.b)], "a long, b long")
 
-    def candidates(parts):
-        out = [(min(m.fp, q.fp), max(m.fp, q.fp), 1, 1) for r in parts.collect() for q in r.others for m in r.members if m.component != q.component]
-        assert all(len(r.members) < 9 for r in parts.collect())
-        return spark.createDataFrame(out, "a long, b long, na long, nb long")
+    def settle(rows):
+        groups = {}
+        for r in rows.collect():
+            groups.setdefault((r.key, r.part, r.block), []).append(r)
+        assert all(len(g) < 12 for g in groups.values()) and len(groups) > 8
+        return spark.createDataFrame([(q.fp, m.fp) for g in groups.values() for q in g for m in g if q.other and not m.other and q.component != m.component and chain(q.fp, m.fp)], "a long, b long")
 
     filed = spark.createDataFrame([(7, v, 1) for v in values] + [(8, 13, 1), (8, 14, 1), (9, 99, 1)], "key long, fp long, n long")
-    found = {r.node: r.component for r in components(linking.connect(filed, near, candidates)).collect()}
+    found = {r.node: r.component for r in components(linking.connect(filed, near, settle)).collect()}
     assert found == {**dict.fromkeys([1, 2, 3], 1), **dict.fromkeys([10, 11, 12, 13, 14], 10), **dict.fromkeys([30, 31, 32, 33, 34], 30)}
-    assert len(set(met)) < len(values) ** 2
-    assert linking.connect(filed.where("false"), near, candidates).count() == 0
+    assert linking.connect(filed.where("false"), near, lambda rows: rows.selectExpr("fp as a", "fp as b")).count() == 0
+
+
+def test_small_parts_give_the_same_stage(spark, monkeypatch):
+    monkeypatch.setattr(linking, "PART", 100)
+    monkeypatch.setattr(linking, "OTHERS", 100)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(9000)}" for _ in range(60)]
+    texts = [" ".join(base)]
+    for _ in range(30):  # each near the first, most of them not near each other
+        text = list(base)
+        text[rng.randrange(60)] = f"x{rng.randrange(9000)}"
+        texts.append(" ".join(text))
+    texts += [" ".join([f"y{i}", *base[: 40 - i]]) for i in range(12)]
+    group = plain_groups(texts)
+    kept = resemblance.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(i for i, h in enumerate(group) if h == g) for g in set(group))
 
 
 def test_clashing_columns(spark):

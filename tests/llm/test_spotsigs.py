@@ -56,7 +56,7 @@ def families(rng, n):
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linking, "PART", 8)
+    monkeypatch.setattr(linking, "PART", 100)
     texts = families(random.Random(5), 40)
     texts += [texts[0], texts[1].upper(), "", None, "one", "  "]
     rows = [(i * 7 % 1009 if i % 11 else None, t, 1) for i, t in enumerate(texts)]

@@ -22,6 +22,7 @@ compressed. A table of one row is its own next row; an empty table gives none. O
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -168,13 +169,47 @@ def links(nodes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
         both = "size(array_intersect(of_a, of_b))"
         return cut(close.join(left, "a").join(right, "b").where(f"{den} * {both} >= {num} * (size(of_a) + size(of_b) - {both})").select("a", "b"))
 
-    def candidates(parts: DataFrame) -> DataFrame:
-        """Members and others of different components and like sizes, part by part."""
-        met = parts.select(F.explode("others").alias("q"), "members").select("q", F.explode("members").alias("m"))
-        apart = met.where(f"q.component <> m.component and {den} * least(q.n, m.n) >= {num} * greatest(q.n, m.n)")
-        return apart.selectExpr("least(q.fp, m.fp) as a", "greatest(q.fp, m.fp) as b", "q.n as na", "m.n as nb")
+    def settle(rows: DataFrame) -> DataFrame:
+        """Links that exact Jaccard, pruned by sizes, finds between the others and the members of each part."""
+        sets = nodes.join(rows.select("fp").distinct(), "fp", "left_semi")
+        node = F.struct("fp", "component", "other", "signs")
+        grouped = rows.join(sets, "fp").groupBy("key", "part", "block").agg(F.collect_list(node).alias("rows"))  # bounded by PART and OTHERS
+        return grouped.select("rows").mapInArrow(compare, "a long, b long")
 
-    return connect(filed, near, candidates)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            found = part_links(b.column("rows").to_pylist()[0], least)
+            columns = list(zip(*found, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return connect(filed, near, settle)
+
+
+def part_links(rows: list[dict], least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
+    """Links that connect what near pairs of others and members of another component connect."""
+    num, den = least
+    for r in rows:
+        r["signs"] = np.array(r["signs"], np.int32)
+    members = sorted((r for r in rows if not r["other"]), key=lambda r: len(r["signs"]))
+    sizes = [len(r["signs"]) for r in members]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = c = root.get(root[c], root[c])
+        return c
+
+    out = []
+    for q in (r for r in rows if r["other"]):
+        n = len(q["signs"])
+        for m in members[bisect.bisect_left(sizes, -(-num * n // den)) : bisect.bisect_right(sizes, den * n // num)]:
+            a, b = find(q["component"]), find(m["component"])
+            if a != b:
+                both = len(np.intersect1d(q["signs"], m["signs"], assume_unique=True))
+                if den * both >= num * (n + len(m["signs"]) - both):
+                    root[max(a, b)] = min(a, b)
+                    out.append((q["fp"], m["fp"]))
+    return out
 
 
 def grouped(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
