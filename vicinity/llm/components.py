@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by label propagation with pointer jumping."""
+"""Connected components of an edge table, by label propagation with pointer jumping.
+
+Edges with a null end and loops are ignored; repeated edges count once; a component is named by its least
+node, so there are no ties; no edges give an empty table. Columns other than ``a`` and ``b`` are ignored.
+"""
 
 from __future__ import annotations
 
