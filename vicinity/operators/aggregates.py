@@ -14,15 +14,26 @@ def centroids(rows: DataFrame, group: str, dims: int, vector: str = "vector") ->
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.array(*(F.avg(v[i].cast("double")) for i in range(dims))).alias("centre"))
 
 
+#: Groups that are few enough to be sent to all tasks.
+FEW = 10_000
+
+
+def _with_centroids(rows: DataFrame, group: str, dims: int, vector: str) -> DataFrame:
+    """``rows`` with their group's centroid; a few groups go to the rows, which then need no shuffle."""
+    found = centroids(rows, group, dims, vector)
+    few = rows.agg(F.approx_count_distinct(group)).first()[0] <= FEW // 2  # the sketch errs by a few percent
+    return rows.join(F.broadcast(found) if few else found, group)
+
+
 def radii(rows: DataFrame, group: str, dims: int, vector: str = "vector") -> DataFrame:
     """Centroids with the largest distance of a member."""
-    joined = rows.join(centroids(rows, group, dims, vector), group)
+    joined = _with_centroids(rows, group, dims, vector)
     return joined.groupBy(group, "n").agg(F.first("centre").alias("centre"), F.max(F.sqrt(squared_distance(F.col(vector), F.col("centre"), dims))).alias("radius"))
 
 
 def farthest(rows: DataFrame, group: str, dims: int, vector: str = "vector", key: str = "ref_id") -> DataFrame:
     """The member of each group farthest from its centroid, of equals the one with the least key."""
-    joined = rows.join(centroids(rows, group, dims, vector), group)
+    joined = _with_centroids(rows, group, dims, vector)
     at = F.struct(squared_distance(F.col(vector), F.col("centre"), dims).alias("d2"), (-F.col(key)).alias("k"))
     return joined.groupBy(group).agg(F.max(at).alias("m")).select(group, (-F.col("m.k")).alias(key), F.col("m.d2").alias("d2"))
 
