@@ -101,3 +101,12 @@ def test_edge_cases(spark):
     nulls = spark.createDataFrame([(None, "a b"), (None, "c")], "doc_id long, text string")
     assert spotsigs.against_edits(nulls).count() == 2
     assert spotsigs.fingerprints(odd).where("size(signs) > 0").count() == 5
+
+
+def test_rows_of_one_id_are_in_several_ranges(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, f"the cat number{i} sat of a mat{i}") for i in range(300)], "doc_id long, text string").repartition(3)
+    assert spotsigs._in_ranges(docs).where("not beside").select("range", "doc_id").distinct().groupBy("doc_id").count().where("count < 4").count() == 0
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    ordered = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    expected = sorted(hashlib.sha256(spotsigs.edited(a.text, b.text).encode()).hexdigest() for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in spotsigs.against_edits(docs).collect()) == expected

@@ -14,9 +14,9 @@ of 65,536 buckets of signatures, counted over all sets. Sets that meet under a s
 row and is ignored when the least id of a group is taken (null if there is no other).
 
 ``against_edits`` pairs each row with the next one in descending ``doc_id`` order. A null id comes
-after all others; rows with equal ids go in a fixed order of their packed texts. The ids are cut into ranges at
-ids that occur, each range gets its neighbour's largest row beside its own rows, and texts travel
-compressed. A table of one row is its own next row; an empty table gives none. Other columns are ignored.
+after all others; rows with equal ids go by a hash of their texts. The rows are cut in this order into ranges, so rows
+of one id can be in several; each range gets its neighbour's largest row beside its own rows, and texts travel
+compressed. Only rows equal in id and text are always together. A table of one row is its own next row; an empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -233,41 +233,42 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _cuts(ids: DataFrame, ranges: int) -> np.ndarray:
-    """Ids that end about even ranges, the largest id last: quantiles of some twenty ids a range, drawn by a hash.
+def _cuts(rows: DataFrame, ranges: int) -> list[tuple[bool, int, int]]:
+    """Rows, as (has an id, id, hash of the text), that end about even ranges, the largest last: quantiles of some twenty rows a range, drawn by a hash.
 
     Only where partitions end hangs on the draw; every row is in exactly one range.
     """
-    found = ids.agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("most")).first()
+    key = (F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h"))
+    found = rows.agg(F.count("*").alias("n"), F.max(F.struct(*key)).alias("most")).first()
     if found["most"] is None:
-        return np.zeros(0, np.int64)
+        return []
     every = max(1, found["n"] // (20 * ranges))
-    drawn = ids.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).distinct().toArrow().column("doc_id")
-    drawn = np.sort(np.asarray(drawn, np.int64))
-    ends = drawn[np.arange(1, ranges) * len(drawn) // ranges] if len(drawn) else drawn
-    return np.unique(np.append(ends, found["most"]))
+    drawn = sorted(map(tuple, rows.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(every)) == 0).select(*key).distinct().collect()))
+    ends = {drawn[n * len(drawn) // ranges] for n in range(1, ranges)} if drawn else set()
+    return sorted(ends | {tuple(found["most"])})
 
 
 def _in_ranges(docs: DataFrame) -> DataFrame:
     """Rows with their range, and the row that follows each range's last one."""
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as binary) text")
-    cuts = _cuts(rows.select("doc_id"), RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.col("text").cast("binary").alias("text"))
+    cuts = _cuts(rows.select("doc_id", "h"), RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
         for b in pieces(batches, 1000):
             out: list[tuple] = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                packed = press(text or b"")
-                k = 0 if doc_id is None or not len(cuts) else int(np.searchsorted(cuts, doc_id))
-                out.append((k, False, doc_id, packed))
-                if not len(cuts) or (doc_id is not None and doc_id == cuts[k]):  # the largest of its range: follows the next range, or after all the lowest
-                    out.append(((k + 1) % max(1, len(cuts)), True, doc_id, packed))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["range", "beside", "doc_id", "packed"])
-
-    dealt = rows.mapInArrow(run, "range int, beside boolean, doc_id long, packed binary").repartition("range")
-    return dealt.sortWithinPartitions("range", "beside", F.desc_nulls_last("doc_id"), F.desc("packed"))
+            for doc_id, h, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
+                packed, key = press(text or b""), (doc_id is not None, doc_id or 0, h)
+                k = bisect.bisect_left(cuts, key)
+                out.append((k, False, doc_id, h, packed))
+                if key == cuts[k]:  # the largest of its range: follows the next range, or after all the lowest
+                    out.append(((k + 1) % len(cuts), True, doc_id, h, packed))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["range", "beside", "doc_id", "h", "packed"])
+
+    dealt = rows.mapInArrow(run, "range int, beside boolean, doc_id long, h long, packed binary").repartition("range")
+    return dealt.sortWithinPartitions("range", "beside", F.desc_nulls_last("doc_id"), F.desc("h"), F.desc("packed"))
 
 
 def against_edits(docs: DataFrame) -> DataFrame:
