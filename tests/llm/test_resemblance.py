@@ -114,6 +114,19 @@ def test_small_parts_give_the_same_stage(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(i for i, h in enumerate(group) if h == g) for g in set(group))
 
 
+def test_trees_find_what_a_scan_finds(monkeypatch):
+    monkeypatch.setattr(resemblance, "LEAF", 5)
+    rng = resemblance.np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 64, (300, resemblance.PIECES), resemblance.np.uint64)
+    prints[100:200] = prints[7]
+    prints[200:] = prints[3] ^ (rng.integers(0, 1 << 64, (100, resemblance.PIECES), resemblance.np.uint64) & rng.integers(0, 1 << 64, (100, resemblance.PIECES), resemblance.np.uint64))
+    tree = resemblance.Tree(prints)
+    for q in range(0, 300, 13):
+        for radius in (0, 60, 79):
+            assert sorted(tree.near(prints[q], radius).tolist()) == [i for i in range(300) if resemblance._far(prints[i], prints[q]) <= radius]
+    assert len(resemblance.Tree(prints[:0]).near(prints[0], 79)) == 0
+
+
 def test_clashing_columns(spark):
     rows = [(1, "the same text of some words here", "x"), (2, "the same text of some words here", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").selectExpr("*", "fp as id", "fp as row", "fp as hashes", "fp as component")
