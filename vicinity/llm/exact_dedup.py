@@ -33,35 +33,47 @@ def normalised(name: str = "text") -> F.Column:
     return F.translate(F.coalesce(F.col(name).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def split(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One round: rows get ``group``, the least row of those with the same keys, and ``n``, how many those are."""
-    counted = rows.groupBy(*keys).agg(F.min("row").alias("next"), F.count("*").alias("n"))
-    return rows.join(counted, keys).drop("group").withColumnRenamed("next", "group")
-
-
 def groups(docs: DataFrame) -> DataFrame:
-    """``row``, ``doc_id``, ``sha`` and ``group``, ``n``: rows of equal texts have one group, and n is their number."""
+    """``row``, ``doc_id``, ``sha``, ``name`` and ``n``: rows of equal texts have one name, and n is their number (alone: no name).
+
+    After the first round a group is named by what was read, the length and the digit; after later ones by its least row.
+    Rows are numbered in what the first round wrote, so that numbers cannot change when a task is run again.
+    """
     text = normalised()
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.cast("binary").alias("bytes"))
-    rows = read.select("row", "doc_id", "sha", F.octet_length("bytes").alias("length"), F.expr(f"substring(bytes, 1, {FIRST})").alias("digit"), F.expr(f"substring(bytes, {FIRST + 1})").alias("rest"))
-    keys, width, settled = ["length", "digit"], FIRST, []
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.cast("binary").alias("bytes"))
+    rows = _digits(read.withColumn("name", F.unhex(F.lpad(F.hex(F.octet_length("bytes")), 8, "0"))), "bytes", FIRST)
+    placed = cut(_placed(rows, rows.groupBy("name", "digit").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("least")), F.concat("name", "digit")))
+    placed = placed.withColumn("row", F.monotonically_increasing_id())
+    width, settled = FIRST, []
     while True:
-        done = (F.col("n") == 1) | (F.octet_length("rest") == 0)
-        placed = cut(split(rows, keys).select("row", "doc_id", "sha", "group", "n", F.when(~done, F.col("rest")).alias("rest")))
-        settled.append(placed.where("rest is null").drop("rest"))
-        rows = placed.where("rest is not null")
-        if not rows.limit(1).count():
+        settled.append(placed.where("rest is null").select("row", "doc_id", "sha", "name", "n"))
+        going = placed.where("rest is not null")
+        if not going.limit(1).count():
             return reduce(DataFrame.union, settled)
         width = min(width * GROWTH, WIDEST)
-        keys = ["group", "digit"]
-        rows = rows.select("row", "doc_id", "sha", "group", F.expr(f"substring(rest, 1, {width})").alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
+        rows = _digits(going, "rest", width)
+        counted = rows.groupBy("name", "digit").agg(F.count("*").alias("n"), F.min("row").alias("least"))
+        placed = cut(_placed(rows, counted, F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex("least"), 16, "0"))), "row"))  # no length begins with FF
+
+
+def _digits(rows: DataFrame, column: str, width: int) -> DataFrame:
+    """The next ``width`` bytes as ``digit``, and what is left of them as ``rest``."""
+    kept = [c for c in rows.columns if c not in (column, "n")]
+    return rows.select(*kept, F.expr(f"substring({column}, 1, {width})").alias("digit"), F.expr(f"substring({column}, {width + 1})").alias("rest"))
+
+
+def _placed(rows: DataFrame, counted: DataFrame, name: F.Column, *ids: str) -> DataFrame:
+    """Rows in the groups that a round made; those that are settled have no ``rest``, those alone no ``name``."""
+    joined = rows.join(counted, ["name", "digit"])
+    several = F.col("n") > 1
+    return joined.select(*ids, "doc_id", "sha", "n", F.when(several, name).alias("name"), F.when(several & (F.octet_length("rest") > 0), F.col("rest")).alias("rest"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` of every row."""
     found = groups(docs)
     several = found.where("n > 1")
-    best = several.groupBy("group").agg(F.max(F.struct("doc_id", "row")).alias("best"))
-    out = several.join(best, "group").select("doc_id", F.col("best.doc_id").alias("keep_id"), "n", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
+    best = several.groupBy("name").agg(F.max(F.struct("doc_id", "row")).alias("best"))
+    out = several.join(best, "name").select("doc_id", F.col("best.doc_id").alias("keep_id"), "n", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
     alone = found.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), "n", F.lit(True).alias("kept"), "sha")
     return alone.union(out).select("doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
