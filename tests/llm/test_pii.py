@@ -1,10 +1,13 @@
 """Base spans against Python's patterns, discovery from contexts, and masking."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import pytest
+
 from vicinity.llm import pii
 
 
@@ -84,88 +87,126 @@ def test_numbers_that_run_together(spark):
     assert found[100].spans == "context:2:19,context:20:36" and found[101].spans == "context:0:17"
 
 
-def planted(n=60):
+def hexed(rng, k):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(k))
+
+
+def prose(rng, k):
+    return " ".join(rng.choice(["the", "and", "of", "word", "then", "is"]) for _ in range(k))
+
+
+def card(rng):
+    while True:
+        value = "4" + "".join(rng.choice("0123456789") for _ in range(15))
+        if luhn(value):
+            return value
+
+
+def planted(cards=60, secrets=60, cues=('SECRET = "', "api key is: "), mails=0):
     """Secrets after cues that no e-mail address, IP address, card or phone number ever follows, and decoys in prose."""
     rng = random.Random(8)
-    hexed = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
-    prose = lambda k: " ".join(rng.choice(["the", "and", "of", "word", "then", "is"]) for _ in range(k))
-
-    def card():
-        while True:
-            value = "4" + "".join(rng.choice("0123456789") for _ in range(15))
-            if luhn(value):
-                return value
-
-    rows, secrets = [], {}
-    for i in range(n):
-        rows.append((i, f"{prose(9)} {card()} {prose(6)}"))
-        value = "a1" + hexed(38 if i % 2 else 198)
-        text = f'{prose(5)} SECRET = "{value}"{prose(5)}' if i % 3 else f"{prose(5)} api key is: {value} {prose(5)}"
+    rows, right = [], {}
+    rows += [(i, f"{prose(rng, 9)} {card(rng)} {prose(rng, 6)}") for i in range(cards)] + [(100_000 + i, f"{prose(rng, 9)} user{i}@mail.com {prose(rng, 6)}") for i in range(mails)]
+    for i in range(secrets):
+        value = "a1" + hexed(rng, 38 if i % 2 else 198)
+        cue = cues[i % len(cues)]
+        text = f'{prose(rng, 5)} {cue}{value}"{prose(rng, 5)}'
         rows.append((1000 + i, text))
-        secrets[1000 + i] = text.index(value), text.index(value) + len(value)
-        rows.append((2000 + i, f"{prose(4)} the version 2.{i} of {prose(4)} part{i}b {prose(3)} 4{'1' * 14}{i % 9} and"))
-    odd = f"{prose(4)} SECRET = 'zq{'7k' * 100}' {prose(3)}"  # of another class than all others
-    rows.append((3000, odd))
-    secrets[3000] = odd.index("zq7"), odd.index("zq7") + 202
-    return rows, secrets
+        right[1000 + i] = text.index(value), text.index(value) + len(value)
+    for i in range(60):
+        rows.append((20_000 + i, f"{prose(rng, 4)} the version 2.{i} of {prose(rng, 4)} part{i}b {prose(rng, 3)} 4{'1' * 14}{i % 9} and"))
+        rows.append((30_000 + i, f"{prose(rng, 4)} commit {hexed(rng, 40)} {prose(rng, 4)} release: v{i}.2.{i % 7} {prose(rng, 3)}"))
+    odd = f"{prose(rng, 4)} {cues[0]}zq{'7k' * 100}' {prose(rng, 3)}"  # not like a random value
+    rows.append((40_000, odd))
+    right[40_000] = odd.index("zq7"), odd.index("zq7") + 202
+    return rows, right
 
 
 def brute_confidences(rows):
     """The graph's scores in plain Python, from the definition."""
     normal = lambda t: re.sub("[0-9]+", "0", re.sub(pii.CUE, "= ", t)).lower()
-    seeds, edges, members = set(), Counter(), {}
-    shape = lambda v: "hex" if re.fullmatch("[0-9a-f]{12,}", v) else "long" if re.fullmatch("[a-z0-9_+/-]{16,}", v) else re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "0", v))
+
+    def random_looking(v):
+        entropy = -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values())
+        changes = sum(a.isdigit() and "a" <= b <= "z" or b.isdigit() and "a" <= a <= "z" for a, b in zip(v, v[1:], strict=False))
+        return len(v) >= pii.RANDOM_LENGTH and entropy >= pii.RANDOM_ENTROPY and changes >= pii.RANDOM_CHANGES
+
+    seeds, edges, last_of = set(), Counter(), {}
     for text in rows:
         base = [s for spans in plain(text).values() for s in spans]
         found = [(m.start() + len(m[0]) - len(m[0].lstrip("._@%+-")), m[0].strip("._@%+-")) for m in re.finditer(pii.CANDIDATE, text)]
         found = [(a, a + len(v)) for a, v in found if len(v) >= 4 and not any(b < a + len(v) and a < c for b, c in base)]
         for a, b in base + found:
             value = text[a:b].lower()
-            members.setdefault(shape(value), set()).add(value)
-            if (a, b) in base:
-                seeds.add(value)
             left, right = normal(text[:a]), re.sub(r"^\S+", "", normal(text[b:])).split()
-            if not re.search(r"\s$", left):
+            if not re.search(r"\s$", left) or not left.split():
                 continue
             left = left.split()
             names = [left[-1]] + ([" ".join(left[-2:])] if len(left) > 1 else []) + ([f"{left[-1]} _ {right[0]}"] if right else [])
             for p in names:
                 edges[p, value] += 1
-    support = Counter(p for p, _ in edges)
-    edges = {e: n for e, n in edges.items() if support[e[0]] >= pii.SUPPORT}
-    uses = Counter()
+                last_of[p] = left[-1]
+                if (a, b) in base:
+                    seeds.add((p, value))
+    support, hits, uses = Counter(p for p, _ in edges), Counter(), Counter()
+    for (p, _), n in edges.items():
+        hits[p] += n
     for text in rows:
         w = normal(text).split()
         for i in range(len(w)):
             uses.update([w[i]] + ([f"{w[i - 1]} {w[i]}"] if i else []) + ([f"{w[i]} _ {w[i + 2]}"] if i + 2 < len(w) else []))
-    best = dict.fromkeys({v for _, v in edges}, 0.0)
-    for turn in range(pii.ROUNDS):
-        known = seeds | {v for v, b in best.items() if b >= pii.ACCEPT}
-        share = {c: len(m & known) / len(m) for c, m in members.items()}
-        belief = {v: 1.0 if v in known else 1 - (1 - share[shape(v)]) * (1 - b) for v, b in best.items()}
-        scores = {p: min(1.0, sum(n * belief[v] for (q, v), n in edges.items() if q == p) / uses[p]) for p in {p for p, _ in edges}}
-        best = {v: max(scores[p] for p, w in edges if w == v) for v in best}
+    edges = {(p, v): n for (p, v), n in edges.items() if support[p] >= pii.SUPPORT and hits[p] >= pii.ACCEPT * uses[p]}
+    least = {(p, v): 1.0 if (p, v) in seeds else pii.RANDOM if last_of[p].endswith("=") and random_looking(v) else 0.0 for p, v in edges}
+    scores, found_after = {}, {}
+    for _ in range(pii.ROUNDS):
+        belief = {(p, v): 1.0 if found_after.get(v, set()) - {last_of[p]} else b for (p, v), b in least.items()}
+        scores = {p: min(1.0, sum(n * belief[e] for e, n in edges.items() if e[0] == p) / uses[p]) for p in {p for p, _ in edges}}
+        found_after = {}
+        for p, v in edges:
+            if scores[p] >= pii.ACCEPT:
+                found_after.setdefault(v, set()).add(last_of[p])
     return scores
 
 
 def test_graph_against_brute_force(spark):
-    rows, _ = planted(30)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    """Also with cues that are candidates themselves, wide spaces, candidates side by side and values found through other words."""
+    rows, right = planted(30, 60, ('SECRET2 = "', "key_v1:   \n\t", "the api4 x5y6 = '"))
+    texts = [t for _, t in rows] + [f"a{i}b2 c{i}d4 {' ' * 20} e5f6=g{i}h8 and -x9{i}y {i}z" for i in range(8)]
+    values = [t[a:b] for (i, t) in rows if i in right for a, b in [right[i]]]
+    texts += [f"we also saw {v} there" for v in values[:12]] + [f"we also saw n{i}m{i}o there" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.pattern: r.confidence for r in pii.scored_patterns(docs, pii.base_spans(docs)).collect()}
-    expected = brute_confidences([t for _, t in rows])
+    expected = brute_confidences(texts)
     assert set(found) == set(expected) and all(abs(found[p] - c) < 1e-9 for p, c in expected.items())
-    assert found["secret="] > 0.9 and found["the"] < 0.1
+    assert found["secret0="] >= pii.RANDOM - 0.05 and found["saw"] >= pii.ACCEPT and found["commit"] == 0 and "the" not in found
 
 
-def test_identifiers_that_no_seed_stands_beside(spark):
-    """Recall and precision of what the graph alone finds: spans of kind ``context``, none of them a base span."""
-    rows, secrets = planted()
+def context_spans(spark, rows):
     found = {r.doc_id: r.spans for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    spans = {(d, *map(int, s.split(":")[1:])) for d, listed in found.items() for s in listed.split(",") if s.startswith("context")}
-    right = {(d, *s) for d, s in secrets.items()}
+    return {(d, *map(int, s.split(":")[1:])) for d, listed in found.items() for s in listed.split(",") if s.startswith("context")}
+
+
+MIXES = {"as many": {}, "few cards": {"cards": 40, "secrets": 400}, "many cards": {"cards": 400, "secrets": 40}, "mails alone": {"cards": 1, "secrets": 40, "mails": 20}, "no seeds": {"cards": 0, "secrets": 40}}
+MIXES |= {"digits in cues": {"cards": 40, "secrets": 40, "cues": ('SECRET2 = "', "key_v1: ")}, "wide spaces": {"cards": 40, "secrets": 40, "cues": (f"SECRET ={' ' * 14}", f"key{' ' * 30}:\n\n ")}}
+
+
+@pytest.mark.parametrize("mix", MIXES)
+def test_identifiers_that_no_seed_stands_beside(spark, mix):
+    """Recall and precision of what the graph alone finds do not hang on how many seeds there are. Hashes of commits and versions stay."""
+    rows, right = planted(**MIXES[mix])
+    spans, right = context_spans(spark, rows), {(d, *s) for d, s in right.items()}
     assert len(spans & right) >= 0.9 * len(right) and len(spans & right) >= 0.95 * len(spans)
 
 
+def test_secrets_in_the_contexts_of_mail_seeds(spark):
+    """Short values, not like random ones, in contexts that they share with seeds; decoys in others."""
+    rng = random.Random(6)
+    rows = [(i, f"{prose(rng, 4)} write to user{i}@mail.com {prose(rng, 4)}") for i in range(30)] + [(100 + i, f"{prose(rng, 4)} write to nick{i} {prose(rng, 4)}") for i in range(12)]
+    rows += [(200 + i, f"{prose(rng, 4)} see part{i} {prose(rng, 4)}") for i in range(12)]
+    spans = context_spans(spark, rows)
+    assert {d for d, _, _ in spans} == {100 + i for i in range(12)}
+
+
 def test_many_groups_and_many_matches(spark):
     rows = [(i, f"call +33 1 4{i} 68 53 0{i % 9} now {'the ' * i}") for i in range(9)] + [(100, "x +33 1 42 68 53 00 4111111111111111 y"), (101, "a@b.c " * 60_000)]
     found = {r.doc_id: r for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}

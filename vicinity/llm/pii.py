@@ -2,19 +2,21 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. They are the seeds. Tokens with
 a digit in them that are no base span are candidates. Seeds and candidates are instances of a graph
-with two other sorts of nodes:
-
-* lexical patterns: the word before an instance, the two words before it, and the words on both sides,
-  with signs such as ``=`` or ``:`` made one and numbers made one;
-* classes of characters: hexadecimal runs, long mixed runs, else the sequence of letters, numbers and signs.
-
-The graph is scored in ``ROUNDS`` rounds. A class passes on the share of its different instances that are
-known, a pattern its confidence: the share of its uses in the whole corpus that lead to an instance, each
-weighted by the instance's belief; patterns with fewer than ``SUPPORT`` different instances have none. An
-instance is known, with belief 1, if it is a seed or follows a pattern of confidence ``ACCEPT`` or more
-(so what was found is a seed of the next round); else its belief is that of its class and its best pattern
-together (noisy or). So seeds reach contexts in which no seed ever stands, if what stands there is made of
-the same characters and stands there nearly always; in running prose confidence stays near nothing.
+whose other nodes are lexical patterns: the word before an instance, the two words before it, and the words on
+both sides, with signs such as ``=`` or ``:`` made one and numbers made one. All words are those of the text, so a word
+before an instance may itself be one, and any white space may stand between.
+
+Patterns are scored in ``ROUNDS`` rounds. A pattern's confidence is the share of its uses in the whole corpus that
+lead to an instance, each weighted by what is believed of the instance without this pattern: 1 for a seed, and for
+what a pattern after another word has found in the round before (so what was found is a seed of the next round); after an
+introducing sign (``=``, ``:``, a quote or a bracket), ``RANDOM`` for values whose statistics are those of random ones; else 0.
+These statistics are fixed, so no share of seeds, and no other values of the corpus, decide how a value is seen:
+``RANDOM_LENGTH`` characters or more, ``RANDOM_ENTROPY`` bits a character or more, and ``RANDOM_CHANGES`` changes or more between
+letters and digits. Numbers alone change nowhere. So an introducing word that random values follow nearly always finds what follows it,
+beside no seed at all; a plain word (``commit``) does not, nor does any word in running prose; and a
+word whose uses are seeds for the most part finds all that follows it. Patterns with fewer than ``SUPPORT`` different instances have no
+confidence; neither have those that less than ``ACCEPT`` of their uses lead to any instance from, which are dropped
+before the rounds: words such as "the", whatever their number of instances.
 Candidates at a pattern of confidence ``ACCEPT`` or more become spans of kind ``context``; of these, values of
 ``LONG`` characters or more are spans wherever they stand.
 
@@ -47,8 +49,9 @@ BROADCAST_PATTERNS = 50_000
 BLOCK = 256
 #: Characters of the blocks in which a text is masked.
 TEXT_BLOCK = 4096
-#: Pieces of the text beside a match, cut at spaces, from which its neighbouring words are taken.
-BESIDE = 12
+#: Belief in a value that looks random and follows an introducing sign, and what such a value has at least.
+RANDOM = 0.6
+RANDOM_LENGTH, RANDOM_ENTROPY, RANDOM_CHANGES = 16, 3.0, 4
 
 # The base patterns. Possessive, and a look-behind so that a run that failed is not tried again from its middle.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -62,7 +65,9 @@ CANDIDATE = rf"(?<![{_ID}])(?=[A-Za-z._@%+-]*+[0-9])[{_ID}]++"
 _TRIM = "._@%+-"
 _CUE = r"=:#\"'(<\["
 CUE = rf"(?<!\s)\s*+[{_CUE}]++[\s{_CUE}]*+"
-_SPAN = "struct<start:int,stop:int,value:string,before:string,after:string>"
+_SPAN = "struct<start:int,stop:int,value:string>"
+_BESIDE = "struct<last:string,two:string,right:string>"
+_PLACED = "struct<start:int,stop:int,value:string,last:string,two:string,right:string>"
 
 
 def _let(value: Column, use) -> Column:
@@ -75,11 +80,14 @@ def _none(kind: str) -> Column:
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
-    """Leftmost non-overlapping matches as array<start, stop, value, before, after>, where ``possible`` holds."""
+    """Leftmost non-overlapping matches with the words beside them, where ``possible`` holds.
+
+    ``last``, ``two``: the word before and the one before that, ``right``: the word after; no ``last`` where that touches the match.
+    """
     parts = F.split(F.regexp_replace(text, f"({pattern})", "\x01$1\x01"), "\x01", -1)
 
     def matched(parts: Column) -> Column:
-        one = lambda j: F.struct(parts[2 * j - 2].alias("gap"), parts[2 * j - 1].alias("hit"), parts[2 * j].alias("next"))
+        one = lambda j: F.struct(parts[2 * j - 2].alias("gap"), parts[2 * j - 1].alias("hit"))
         return F.transform(F.sequence(F.lit(1), (F.size(parts) / 2).cast("int")), one)
 
     def blocks(found: Column) -> Column:
@@ -94,14 +102,39 @@ def _matches(text: Column, pattern: str, possible: Column) -> Column:
         def step(acc: Column, m: Column) -> Column:
             start = acc["at"] + F.length(m["gap"])
             stop = start + F.length(m["hit"])
-            beside = F.substring_index(m["gap"], " ", -BESIDE).alias("before"), F.substring_index(m["next"], " ", BESIDE).alias("after")
-            return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), m["hit"].alias("value"), *beside)).alias("out"))
+            return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), m["hit"].alias("value"))).alias("out"))
 
         return F.aggregate(block, F.struct(at.alias("at"), _none(_SPAN).alias("out")), step, lambda acc: acc["out"])
 
     in_blocks = lambda p: F.flatten(_let(_let(matched(p), blocks), lambda b: F.zip_with(b, starts(b), placed)))
-    spans = _let(parts, lambda p: F.when(F.size(p) > 1, in_blocks(p)))
-    return F.coalesce(F.when(possible, spans), _none(_SPAN))
+    joined = lambda s, c: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), c["last"].alias("last"), c["two"].alias("two"), c["right"].alias("right"))
+    spans = _let(parts, lambda p: F.when(F.size(p) > 1, F.zip_with(in_blocks(p), _beside(p), joined)))
+    return F.coalesce(F.when(possible, spans), _none(_PLACED))
+
+
+def _beside(parts: Column) -> Column:
+    """For each match, the second of two ``parts``, the words beside it, as ``_normal`` has them. Takes time in proportion to the text.
+
+    Matches are marked, spaces in them replaced, and the text is cut into words; a match has a word before it only if it begins a word.
+    """
+    marked = lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("\x01"), F.regexp_replace(_cued(p), r"\s", "\x02"), F.lit("\x03"))).otherwise(_cued(p))
+    words = F.split(F.array_join(F.transform(parts, marked), ""), r"\s+", -1)
+    plain = lambda w: _numbered(F.translate(w, "\x01\x03", ""))
+
+    def near(words: Column) -> Column:
+        def of(x: Column) -> Column:
+            at = x["i"]
+            left = F.filter(F.split(F.concat_ws("\x02", F.get(words, at - 2), F.get(words, at - 1)), "\x02"), lambda w: plain(w) != "")
+            right = plain(F.substring_index(F.get(words, at + 1), "\x02", 1))
+            own = F.struct(plain(F.get(left, F.size(left) - 1)).alias("last"), plain(F.get(left, F.size(left) - 2)).alias("two"), F.when(right != "", right).alias("right"))
+            begins = F.when(x["w"].startswith("\x01"), own).otherwise(F.lit(None).cast(_BESIDE))
+            more = F.length(x["w"]) - F.length(F.replace(x["w"], F.lit("\x01"), F.lit(""))) - 1
+            return F.concat(F.array(begins), F.array_repeat(F.lit(None).cast(_BESIDE), more))
+
+        held = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].contains("\x01"))
+        return F.flatten(F.transform(held, of))
+
+    return _let(words, near)
 
 
 def _digits(value: Column) -> Column:
@@ -136,33 +169,37 @@ def _shape(value: Column) -> Column:
     return F.regexp_replace(value, "[0-9]", "9")
 
 
-def _normal(text: Column) -> Column:
-    """Cue signs made one, numbers made one, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, CUE, "= "), "[0-9]+", "0"))
+def _cued(text: Column) -> Column:
+    """Introducing signs made one."""
+    return F.regexp_replace(text, CUE, "= ")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def _numbered(text: Column) -> Column:
+    """Numbers made one, lower case."""
+    return F.lower(F.regexp_replace(text, "[0-9]+", "0"))
+
+
+def _normal(text: Column) -> Column:
+    return _numbered(_cued(text))
 
 
 def _patterns(span: Column) -> Column:
-    """The lexical patterns of a span as array<pattern, last>, ``last`` the word before it; none where that touches the span."""
+    """The lexical patterns of a span as array<pattern, last>; none where the word before touches it."""
+    last = span["last"]
+    both = F.array(last, F.concat(span["two"], F.lit(" "), last), F.concat(last, F.lit(" _ "), span["right"]))
+    return F.transform(F.array_compact(both), lambda p: F.struct(p.alias("pattern"), last.alias("last")))
 
-    def of(left: Column, right: Column) -> Column:
-        last = F.get(left, F.size(left) - 1)
-        both = F.array(last, F.concat(F.get(left, F.size(left) - 2), F.lit(" "), last), F.concat(last, F.lit(" _ "), F.get(right, F.lit(0))))
-        return F.transform(F.array_compact(both), lambda p: F.struct(p.alias("pattern"), last.alias("last")))
 
-    before = _normal(span["before"])
-    after = F.regexp_replace(_normal(span["after"]), r"^\S++", "")
-    found = _let(_words(before), lambda left: _let(_words(after), lambda right: of(left, right)))
-    return F.when(before.rlike(r"\s$"), found).otherwise(_none("struct<pattern:string,last:string>"))
+def _looks_random(value: Column) -> Column:
+    """Are a value's length, entropy and changes between letters and digits those of a random one?"""
+    n = F.length(value)
 
+    def entropy(characters: Column) -> Column:
+        share = lambda c: F.size(F.filter(characters, lambda x: x == c)) / F.size(characters)
+        return F.aggregate(F.transform(F.array_distinct(characters), share), F.lit(0.0), lambda h, p: h - p * F.log2(p))
 
-def _class(value: Column) -> Column:
-    """The class of characters of a value in lower case."""
-    runs = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "0"), r"\p{L}+", "a")
-    return F.when(value.rlike("^[0-9a-f]{12,}$"), "hex").when(value.rlike("^[a-z0-9_+/-]{16,}$"), "long").otherwise(runs)
+    changes = F.regexp_count(value, F.lit("(?<=[0-9])[a-z]|(?<=[a-z])[0-9]"))
+    return (n >= RANDOM_LENGTH) & (changes >= RANDOM_CHANGES) & (_let(F.split(value, ""), entropy) >= RANDOM_ENTROPY)
 
 
 def _trimmed(spans: Column) -> Column:
@@ -171,8 +208,8 @@ def _trimmed(spans: Column) -> Column:
     def one(s: Column) -> Column:
         start = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(_TRIM)))
         value = F.trim(s["value"], F.lit(_TRIM))
-        head = F.substring(s["value"], F.lit(1), start - s["start"])
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), F.concat(s["before"], head).alias("before"), s["after"].alias("after"))
+        last = F.when(start == s["start"], s["last"])  # else a sign touches it
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), last.alias("last"), s["two"].alias("two"), s["right"].alias("right"))
 
     return F.filter(F.transform(spans, one), lambda s: F.length(s["value"]) >= 4)
 
@@ -184,7 +221,7 @@ def base_spans(docs: DataFrame, keep: bool = False) -> DataFrame:
     """
     whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *whole)
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.translate("text", "\x01", "\x02").alias("t"), *(["row"] if keep else []))  # the mark must not occur; it matches nothing either way
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.translate("text", "\x01\x02\x03", "\x7f\x7f\x7f").alias("t"), *(["row"] if keep else []))  # marks must not occur; they match nothing either way
     text = F.col("t")
     for kind, pattern, possible, _ in KINDS:
         rows = rows.withColumn(kind, _matches(text, pattern, possible(text)))
@@ -208,34 +245,36 @@ def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def _seen(spans: DataFrame) -> DataFrame:
-    """``patterns``, ``instance``, ``class`` and ``seed`` of every seed and candidate."""
+    """``patterns``, ``instance`` and ``seed`` of every seed and candidate."""
     of = lambda kind, seed: F.transform(kind, lambda s: F.struct(_patterns(s).alias("patterns"), F.lower(s["value"]).alias("instance"), F.lit(seed).alias("seed")))
     seen = F.concat(*(of(k[0], True) for k in KINDS), of("candidates", False))
-    return spans.select(F.explode(seen).alias("s")).select("s.*").withColumn("class", _class(F.col("instance")))
+    return spans.select(F.explode(seen).alias("s")).select("s.*").where(F.size("patterns") > 0)
+
+
+def _few(patterns: DataFrame) -> DataFrame:
+    """Patterns are sent to all executors if a count shows that they are few."""
+    return F.broadcast(patterns) if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else patterns
 
 
 def scored_patterns(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``pattern``, ``confidence`` of the patterns with enough instances, from the rows of ``base_spans``."""
-    seen = _seen(spans)
-    nodes = seen.groupBy("class", "instance").agg(F.max("seed").alias("seed"))
-    classes = cut(nodes.groupBy("class").agg(F.count("*").alias("members"), F.count_if("seed").alias("seeds")))
-    edges = seen.select(F.explode("patterns").alias("p"), "instance", "class", "seed").groupBy("p.pattern", "p.last", "instance", "class").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    known = edges.groupBy("pattern", "last").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT).select("pattern", "last")
-    edges = cut(edges.join(known, ["pattern", "last"]).select("pattern", "last", "instance", "class", "n", "seed"))
-    if not edges.limit(1).count():
-        return edges.select("pattern", F.lit(0.0).alias("confidence"))
-    uses = cut(_uses(docs, edges.select("pattern", "last").distinct()))
-    found = edges.select("pattern", "instance", "class", "n", "seed", F.lit(0.0).alias("best"))
+    edges = cut(_seen(spans).select(F.explode("patterns").alias("p"), "instance", "seed").groupBy("p.pattern", "p.last", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    known = cut(edges.groupBy("pattern", "last").agg(F.count("*").alias("instances"), F.sum("n").alias("hits")).where(F.col("instances") >= SUPPORT))
+    if not known.limit(1).count():
+        return known.select("pattern", F.lit(0.0).alias("confidence"))
+    able = cut(known.join(_uses(docs, known.select("pattern", "last")), "pattern").where(F.col("hits") >= ACCEPT * F.col("uses")).select("pattern", "last", "uses"))
+    least = F.when(F.col("last").endswith("=") & _looks_random(F.col("instance")), RANDOM).otherwise(0.0)
+    edges = cut(edges.join(_few(able), ["pattern", "last"]).select("pattern", "last", "uses", "instance", "n", F.when(F.col("seed"), 1.0).otherwise(least).alias("least")))
+    believed = edges.withColumn("belief", F.col("least"))
     for turn in range(ROUNDS):
-        accepted = found.where(~F.col("seed") & (F.col("best") >= ACCEPT)).select("class", "instance").distinct().groupBy("class").agg(F.count("*").alias("more"))
-        share = classes.join(accepted, "class", "left").select("class", ((F.col("seeds") + F.coalesce("more", F.lit(0))) / F.col("members")).alias("share"))
-        belief = F.when(F.col("seed") | (F.col("best") >= ACCEPT), 1.0).otherwise(1 - (1 - F.col("share")) * (1 - F.col("best")))
-        hits = found.join(share, "class").groupBy("pattern").agg(F.sum(F.col("n") * belief).alias("hits"))
-        patterns = hits.join(uses, "pattern").select("pattern", F.least(F.lit(1.0), F.col("hits") / F.col("uses")).alias("confidence"))
+        patterns = believed.groupBy("pattern", "last", "uses").agg(F.sum(F.col("n") * F.col("belief")).alias("hits")).select("pattern", "last", F.least(F.lit(1.0), F.col("hits") / F.col("uses")).alias("confidence"))
         if turn < ROUNDS - 1:
-            best = edges.join(patterns, "pattern").groupBy("class", "instance").agg(F.max("confidence").alias("best"))
-            found = cut(edges.join(best, ["class", "instance"], "left").select("pattern", "instance", "class", "n", "seed", F.coalesce("best", F.lit(0.0)).alias("best")))
-    return patterns
+            patterns = cut(patterns)
+            accepted = patterns.where(F.col("confidence") >= ACCEPT).select("pattern")
+            found = edges.join(_few(accepted), "pattern").groupBy("instance").agg(F.min("last").alias("one"), F.max("last").alias("other"))
+            elsewhere = (F.col("one") != F.col("last")) | (F.col("other") != F.col("last"))  # null, so not so, if no pattern has found it
+            believed = cut(edges.join(found, "instance", "left").select("pattern", "last", "uses", "n", F.when(elsewhere, 1.0).otherwise(F.col("least")).alias("belief")))
+    return patterns.select("pattern", "confidence")
 
 
 def shaped(spans: DataFrame) -> DataFrame:
