@@ -78,15 +78,30 @@ def test_queries_in_several_blocks(data, monkeypatch, strategy):
 def test_queries_of_one_cell_are_dealt_out(data, monkeypatch, kind):
     queries, refs, q, r = data
     monkeypatch.setattr(cells, "GRID_QUERIES", 4)
-    monkeypatch.setattr(cells, "PART", 50)
-    assert rows_of(cells.search(q, cells.build(r, kind, leaf_rows=100), 5, 14)) == plain(queries, refs, 5)
+    monkeypatch.setattr(cells, "TASK", 50)
+    assert rows_of(cells.search(q, cells.build(r, kind, leaf_rows=20), 5, 14)) == plain(queries, refs, 5)
+
+
+@pytest.mark.parametrize("kind", ["cells", "boxes"])
+def test_trees_of_many_levels(data, monkeypatch, kind):
+    """Nodes split by aggregations over all rows, equal rows dealt out in parts, and routes over ancestors of branches."""
+    queries, refs, q, r = data
+    for name, value in (("GATHER", 45), ("TASK", 12), ("SENT", 8)):
+        monkeypatch.setattr(cells, name, value)
+    index = cells.build(r, kind, leaf_rows=5)
+    found = index.rows.groupBy("branch", "leaf").agg(F.count("*").alias("n"), F.countDistinct("vector").alias("different")).collect()
+    assert sum(b.n for b in index.branches.collect()) == len(refs) and len(found) > 40 and all(f.n <= 5 or f.different == 1 for f in found)
+    assert cells._routes(index, 14).depth == 3 and index.branches.count() > cells.SENT
+    assert rows_of(cells.search(q, index, 5, 14)) == plain(queries, refs, 5)
+    assert rows_of(cells.search(q, index, 60, 14)) == plain(queries, refs, 60)  # more than any branch has
+    assert 0 < cells.pairs_compared(q, index, 1, 14) < len(queries) * len(refs) / 2
 
 
 def test_auto_follows_the_index_and_the_number_of_queries(data, monkeypatch):
     _, _, q, r = data
     assert search.chosen(q, "auto") == "scan" and search.chosen(q, "auto", cells.build(r, "boxes")) == "boxes" and search.chosen(q, "Keyed") == "keyed"
     monkeypatch.setattr(search, "BLOCK", 7)
-    assert search.chosen(q, "auto") == search.chosen(q, "no such") == "cells"
+    assert search.chosen(q, "auto") == search.chosen(q, "no such") == "boxes"
 
 
 def test_fifty_thousand_queries(spark, monkeypatch):
@@ -156,7 +171,7 @@ def test_a_crash_leaves_the_version_before(spark, data, tmp_path, monkeypatch):
     few = r.where("ref_id < 100")
     monkeypatch.setattr(store, "fingerprint", lambda rows: (_ for _ in ()).throw(OSError("no")))
     with pytest.raises(OSError):
-        store.write_index(cells.build(few, "cells", leaf_rows=40), few, path, 40, 14)  # rows and cells are there, the description is not
+        store.write_index(cells.build(few, "cells", leaf_rows=40), few, path, 40, 14)  # rows and branches are there, the description is not
     monkeypatch.undo()
     assert index_ready(spark, path) and rows_of(knn(q, r, 5, index=open_index(spark, path))) == plain(queries, refs, 5)
     folder = store.describe(spark, path)["folder"]
@@ -190,13 +205,14 @@ def test_one_builder_at_a_time(spark, tmp_path, monkeypatch):
     assert seen[-2:] == [9, 9]
 
 
-def test_cell_bounds_hold_their_rows(data):
+def test_bounds_hold_their_rows(data, monkeypatch):
+    monkeypatch.setattr(cells, "TASK", 60)
     for kind in ("cells", "boxes"):
         index = cells.build(data[3], kind, leaf_rows=30)
-        bounds = {r.cell_id: r for r in index.cells.collect()}
+        bounds = {r.branch: r for r in index.branches.collect()}
         assert sum(b.n for b in bounds.values()) == 300 and len(bounds) > 1
         for r in index.rows.collect():
-            b = bounds[r.cell_id]
+            b = bounds[r.branch]
             if kind == "cells":
                 assert np.linalg.norm(np.array(r.vector) - np.array(b.centre)) <= b.radius + 1e-9
             else:

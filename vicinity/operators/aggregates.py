@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import dot, squared_distance
+from .selection import nth, sent
 
 
 def centroids(rows: DataFrame, group: str, dims: int, vector: str = "vector") -> DataFrame:
@@ -52,5 +53,13 @@ def side(vector: Column, a: Column, b: Column, dims: int) -> Column:
 
 
 def median_halves(rows: DataFrame, group: str, value: Column, key: str = "ref_id") -> DataFrame:
-    """``half`` 1 or 2 of each row by the order of (value, key) within its group."""
-    return rows.withColumn("half", F.ntile(2).over(Window.partitionBy(group).orderBy(value, key)))
+    """``half`` 1 or 2 of each row by the order of (value, key) within its group; the first half has the odd row.
+
+    The row in the middle is found by counts (``selection.nth``), so no group is sorted in one task. Rows without a value are in the first half and do not count.
+    """
+    valued = rows.withColumn("__value", value)
+    middle = nth(valued, group, F.col("__value"), F.ceil(F.col("n") / 2), key)
+    edge = middle.select(F.col(group).alias("__g"), F.col("value").alias("__x"), F.col(key).alias("__k"))
+    first = (F.col("__value") < F.col("__x")) | ((F.col("__value") == F.col("__x")) & (F.col(key) <= F.col("__k")))
+    joined = valued.join(sent(edge), F.col(group) == F.col("__g"), "left")
+    return joined.select(*rows.columns, F.when(first | F.col("__value").isNull(), 1).otherwise(2).alias("half"))

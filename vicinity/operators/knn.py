@@ -11,10 +11,10 @@ Squared distances are added from the first dimension to the last in 64-bit float
 ``keyed``  scan, but only between vectors that agree on whether there is a last transaction and on
            three flags: others are at a squared distance of 1 or more. Queries whose k-th distance
            reaches 1 are scanned again in full. For the fourteen features.
-``cells``  references filed under cells with centre and radius; a query meets only cells whose bound
-           allows a neighbour. For stores that are searched again and again.
+``cells``  references filed in a bisecting tree of balls; a query meets its nearest leaves first, then only those
+           that reach into its k-th distance. For stores that are searched again and again.
 ``boxes``  the same with boxes.
-``auto``   the kind of the index, if there is one; else scan for up to ``BLOCK`` queries, cells for more.
+``auto``   the kind of the index, if there is one; else scan for up to ``BLOCK`` queries, boxes for more (they compare fewest pairs).
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..config import DIMENSIONS, NEIGHBOURS
 from ..functions.kernels import squared_distance
+from .selection import kept
 
 #: Queries that may be sent to all tasks.
 BLOCK = 4096
@@ -184,17 +185,11 @@ def _sent(queries: DataFrame, refs: DataFrame, k: int, dims: int, keyed: bool, s
     return refs.mapInArrow(run, schema)
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """``rows`` computed once: in the checkpoint folder, where the session names one."""
-    spark = rows.sparkSession
-    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else rows.persist()
-
-
 def keyed(queries: DataFrame, refs: DataFrame, k: int, dims: int) -> DataFrame:
     """Scan between vectors of one key; queries that this does not settle are scanned in full."""
     if dims != DIMENSIONS:
         raise ValueError("keyed search is for the fourteen features")
-    near = stored(scan(queries, refs, k, dims, keyed=True))  # k rows a query
+    near = kept(scan(queries, refs, k, dims, keyed=True))  # k rows a query
     settled = near.where((F.col("rank") == k) & (F.col("d2") < 1)).select("query_id")
     rest = queries.join(settled, "query_id", "left_anti")
     return near.join(settled, "query_id", "left_semi").unionAll(scan(rest, refs, k, dims))
@@ -207,7 +202,7 @@ def chosen(queries: DataFrame, strategy: str, index=None) -> str:
         return strategy
     if index is not None:
         return index.kind
-    return "scan" if queries.limit(BLOCK + 1).count() <= BLOCK else "cells"
+    return "scan" if queries.limit(BLOCK + 1).count() <= BLOCK else "boxes"
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int = NEIGHBOURS, strategy: str = "auto", dims: int = DIMENSIONS, index=None) -> DataFrame:

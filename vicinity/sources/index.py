@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.cells import PART, Index, build
+from ..operators.cells import KEPT, Index, build
 from .references import read_store
 
-VERSION = 2
+VERSION = 3
 LOCK_SECONDS = 3600
-META = "version int, kind string, leaf_rows int, dims int, fingerprint string, folder string, rows long, cells long, published long"
+META = "version int, kind string, leaf_rows int, dims int, fingerprint string, folder string, rows long, branches long, published long"
 
 
 def fingerprint(refs: DataFrame) -> str:
@@ -41,13 +41,11 @@ def write_index(index: Index, refs: DataFrame, path: str, leaf_rows: int, dims:
     spark = refs.sparkSession
     before = _published(spark, path)
     folder = f"v-{uuid.uuid4().hex}"
-    parts = index.cells.select("cell_id", F.ceil(F.col("n") / PART).alias("parts"))
-    dealt = index.rows.join(F.broadcast(parts), "cell_id").withColumn("part", F.pmod(F.xxhash64("ref_id"), "parts")).repartition("cell_id", "part").drop("part", "parts")
-    dealt.write.partitionBy("cell_id").parquet(f"{path}/{folder}/rows")
-    index.cells.coalesce(1).write.parquet(f"{path}/{folder}/cells")
-    sizes = index.cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("cells")).first()
+    index.rows.repartitionByRange("branch", "ref_id").sortWithinPartitions("branch", "leaf").write.parquet(f"{path}/{folder}/rows")
+    index.branches.write.parquet(f"{path}/{folder}/branches")
+    sizes = index.branches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("branches")).first()
     number = max((r["published"] for r in before), default=0) + 1
-    meta = [(VERSION, index.kind, leaf_rows, dims, fingerprint(refs), folder, sizes["rows"], sizes["cells"], number)]
+    meta = [(VERSION, index.kind, leaf_rows, dims, fingerprint(refs), folder, sizes["rows"], sizes["branches"], number)]
     spark.createDataFrame(meta, META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
     for row in before[1:]:
         files, old = _files(spark, f"{path}/{row['folder']}")
@@ -68,17 +66,17 @@ def describe(spark: SparkSession, path: str):
 
 
 def _open(spark: SparkSession, path: str, found) -> Index:
-    rows = spark.read.schema("ref_id long, vector array<double>, is_fraud boolean, cell_id long").parquet(f"{path}/{found['folder']}/rows")
-    return Index(rows, spark.read.parquet(f"{path}/{found['folder']}/cells"), found["kind"])
+    rows = spark.read.schema(KEPT).parquet(f"{path}/{found['folder']}/rows")
+    return Index(rows, spark.read.parquet(f"{path}/{found['folder']}/branches"), found["kind"])
 
 
 def _whole(spark: SparkSession, path: str, found) -> bool:
-    """Is the version of this library, and has it as many rows and cells as were written?"""
+    """Is the version of this library, and has it as many rows and branches as were written?"""
     if found is None or found["version"] != VERSION:
         return False
     try:
         index = _open(spark, path, found)
-        return index.rows.count() == found["rows"] and index.cells.count() == found["cells"]
+        return index.rows.count() == found["rows"] and index.branches.count() == found["branches"]
     except AnalysisException:
         return False
 
@@ -136,7 +134,7 @@ class lock:
         self.files.delete(self.file, False)
 
 
-def ensure_index(refs: DataFrame, path: str, kind: str = "cells", dims: int = 14, leaf_rows: int = 8192) -> Index:
+def ensure_index(refs: DataFrame, path: str, kind: str = "cells", dims: int = 14, leaf_rows: int = 512) -> Index:
     """The index at ``path``; built anew if there is none, it is not whole, or is of other references, another kind or shape."""
     spark = refs.sparkSession
     wanted = (VERSION, kind, leaf_rows, dims, fingerprint(refs))
