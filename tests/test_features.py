@@ -140,7 +140,7 @@ def test_positions_in_several_files(spark, tmp_path):
 def test_references(spark, tmp_path):
     good = [{"vector": [0.1] * 14, "label": "FRAUD"}, {"vector": [0.2] * 14, "label": "legit"}, None]
     (tmp_path / "refs.json").write_text(json.dumps(good))
-    refs = references.read_reference_json(spark, str(tmp_path / "refs.json"), null_records=True)
+    refs = references.read_reference_json(spark, str(tmp_path / "refs.json"))
     (tmp_path / "plain.json").write_text(json.dumps(good[:2]))
     assert references.read_reference_json(spark, str(tmp_path / "plain.json")).collect() == refs.collect()
     references.write_store(refs, str(tmp_path / "store"), expected=2)

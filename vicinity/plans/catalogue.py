@@ -377,19 +377,50 @@ def stored_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled vectors written as gzipped JSON, read back and checked: those that fit, and why others don't."""
-    from ..sources import references
+    """Labelled vectors written as a gzipped JSON array, read back record by record and checked: those that fit, and why others don't."""
+    from ..sources import arrays, references
 
     home = _shared_folder(spark, "refs")
     vectors = _vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, F.when(F.col("ref_id") % 10 == 0, 13).otherwise(14)))
     labelled = vectors.select("vector", F.when(F.col("ref_id") % 7 > 0, F.when(F.col("label") % 3 == 0, "Fraud").otherwise("legit")).alias("label"))
-    labelled.write.option("compression", "gzip").json(f"{home}/in")
-    rows = spark.read.schema("vector array<double>, label string").json(f"{home}/in").withColumn("ref_id", F.monotonically_increasing_id())
-    good, bad = references.split_references(rows)
+    arrays.write_array(labelled, f"{home}/in", compression="gzip")
+    good, bad = references.split_references(references.read_reference_json(spark, f"{home}/in"))
     fine = references.encoded(good).groupBy(F.when(F.col("is_fraud"), "fraud").otherwise("legit").alias("kind")).agg(F.count("*").alias("n"))
     return fine.unionByName(bad.groupBy(F.concat_ws("; ", "errors").alias("kind")).agg(F.count("*").alias("n")))
 
 
+def array_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as an array in several files, read back: what stands at each position."""
+    from ..sources import arrays
+
+    home = _shared_folder(spark, "array")
+    customers = _table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_acctbal", "c_mktsegment")
+    arrays.write_array(customers, f"{home}/in", pretty=True)
+    rows = arrays.read_array(spark, f"{home}/in", customers.schema)
+    return rows.select("position", "c_custkey", "c_acctbal", "c_mktsegment")
+
+
+def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as the JSON sinks write them."""
+    from ..sources.arrays import number
+
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    texts = [number(F.col("l_extendedprice")).alias("price"), number(F.col("l_quantity").cast("double")).alias("quantity"), number(-F.floor(F.col("l_extendedprice") / 7 * 1e6) / 1e6).alias("seventh")]
+    return items.select("l_orderkey", "l_linenumber", *texts)
+
+
+def quantile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a mergeable sketch, stored by event type and merged: do they lie within the bound of their ranks?"""
+    home = _shared_folder(spark, "sketch")
+    events = _table(spark, sf_dir, "events")
+    evaluate.sketched(events, "value", "event_type").write.parquet(f"{home}/states")
+    found = evaluate.quantiles(evaluate.merged(spark.read.parquet(f"{home}/states")), [0.5, 0.9, 0.99])
+    limits = {r["rank"]: (r["n"], r["value"]) for r in found.collect()}  # three rows
+    value, off = F.col("value"), evaluate.rank_error()
+    within = lambda p, n, v: (F.count_if(value < v) / n <= p + off) & (F.count_if(value <= v) / n >= p - off)
+    return events.agg(F.count("value").alias("n"), *(within(p, n, v).alias(f"within_{round(100 * p)}") for p, (n, v) in sorted(limits.items())))
+
+
 def generated_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generate.generate_payloads(spark, *REFERENCES)
     return rows.groupBy("profile").agg(F.count("*").alias("n"), F.min("transaction.amount").alias("least"), F.max("transaction.amount").alias("most"), F.count_if(F.col("last_transaction").isNull()).alias("first_ones"))
@@ -496,6 +527,15 @@ FROM (VALUES (1, 30, 1, 100), (2, 60, 100, 400), (3, 120, 400, 900)) t(stage, du
 SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM o)""",
     ),
     "file_checksum": (file_checksum, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
+    "array_positions": (array_positions, "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS position, c_custkey, c_acctbal, c_mktsegment FROM customer"),
+    "number_format": (
+        number_format,
+        "SELECT l_orderkey, l_linenumber, " + ", ".join(
+            f"CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN printf('%.0f', CAST({x} AS DOUBLE)) ELSE rtrim(rtrim(printf('%.10f', CAST({x} AS DOUBLE)), '0'), '.') END AS {name}"
+            for name, x in (("price", "l_extendedprice"), ("quantity", "CAST(l_quantity AS DOUBLE)"), ("seventh", "(-floor(l_extendedprice / 7 * 1e6) / 1e6)"))
+        ) + " FROM lineitem",
+    ),
+    "quantile_bounds": (quantile_bounds, "SELECT count(value) AS n, true AS within_50, true AS within_90, true AS within_99 FROM events"),
     "generated_stats": (generated_stats, generated_sql.statistics(*REFERENCES)),
     "generated_labels": (generated_labels, generated_sql.decisions(PAYLOADS, REFERENCES)),
     "stream_score": (stream_score, generated_sql.decisions(PAYLOADS, REFERENCES)),

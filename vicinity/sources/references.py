@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import DIMENSIONS
 from ..functions.validation import errors, is_fraud, reference_rules
 from ..schemas import REFERENCE_JSON
+from .arrays import read_array
 
 
-def read_reference_json(spark: SparkSession, path: str, null_records: bool = False) -> DataFrame:
-    """``ref_id`` (position in the file), ``vector``, ``label`` from one array or from JSON lines, plain or gzipped.
+def read_reference_json(spark: SparkSession, path: str) -> DataFrame:
+    """``ref_id`` (position in the file), ``vector``, ``label`` from one array a file or from JSON lines, plain or gzipped.
 
-    One array file is one task; write it to a store once and read that afterwards. Spark's reader
-    gives up on an array with a null among its records; ``null_records`` reads whole texts instead
-    and skips them, which holds each file in memory.
+    Records are read one by one (``arrays.read_array``), whatever the size of a file; null records are skipped. A gzipped
+    file is one task's work; write it to a store once and read that afterwards.
     """
-    if null_records:
-        texts = spark.read.text(path, wholetext=True)
-        rows = texts.select(F.explode(F.from_json("value", T.ArrayType(REFERENCE_JSON))).alias("r")).where("r is not null").select("r.*")
-    else:
-        rows = spark.read.schema(REFERENCE_JSON).option("multiLine", True).json(path).where("vector is not null or label is not null")
-    return _numbered(rows)
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``ref_id``: the position in the file, plus 2^32 for every file before it by name; the same on every read of the same files."""
-    files = sorted(rows.inputFiles())
-    at = F.monotonically_increasing_id()
-    if len(files) <= 1:
-        return rows.select(at.alias("ref_id"), "vector", "label")
-    number = F.create_map(*(x for n, f in enumerate(files) for x in (F.lit(f), F.lit(n << 32))))
-    # a file is never split, as records can span lines; rows of one task are numbered through its files
-    placed = rows.select(F.element_at(number, F.input_file_name()).alias("file"), at.alias("at"), "vector", "label")
-    return placed.select((F.col("file") + F.col("at") - F.min("at").over(Window.partitionBy("file"))).alias("ref_id"), "vector", "label")
+    return read_array(spark, path, REFERENCE_JSON).withColumnRenamed("position", "ref_id")
 
 
 def encoded(references: DataFrame) -> DataFrame:
