@@ -2,7 +2,8 @@
 
 import random
 
-from vicinity.llm.html_text import OUTSIDE, block_sums, extract, lines, main_text, surges, weights
+from vicinity.llm import html_text
+from vicinity.llm.html_text import block_sums, extract, lines, main_text, surges, weights
 
 
 def article(rng, n):
@@ -35,6 +36,11 @@ def test_white_space_references_and_odd_markup():
     assert main_text("<article>cut short <p") == "cut short"
 
 
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, 'u', '<article>x</article>', 'own', 5)], 'page_id int, url string, html string, text string, n_chars int')
+    assert [tuple(r) for r in extract(pages).collect()] == [(1, 'u', 'x', 1)]
+
+
 def test_edge_cases(spark):
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == ""
     assert len(main_text("<article>" + "<p>word " * 50_000)) == 50_000 * 5 - 1
@@ -76,12 +82,32 @@ def test_an_unmarked_article_split_by_a_long_list_of_links():
     assert main_text(around(f"<div id=content><p>{short}</p>{links}<p>{long}</p></div><form>sign up</form><div><p>Some other words of the page.</p></div>")) == f"{short} {long.strip()}"
 
 
-def test_lines_outside_the_mark_weigh_less_but_are_not_barred():
-    """What is outside a marked article stays out by its sums: the mark lowers weights."""
+def test_lines_outside_a_marked_article_stay_out():
     inside = "Words of the article, of which there are quite a few in this line."
-    assert main_text(f"<article><p>{inside}</article><div><p>A line about the site, no more.</div>") == inside
-    rows = lines(f"<article><p>{inside}</article><div><p>A line about the site.</div>")
-    assert weights(rows).tolist() == [len(inside), len("A line about the site.") * OUTSIDE]
+    page = f"<article><p>{inside}</article><div><p>A line about the site, no more.</div>"
+    assert main_text(page) == inside and weights(lines(page)).tolist() == [len(inside), 0]
+    assert main_text(f"<article><p>Fourteen chars</article><div><p>{'a line outside of the article ' * 3}</div>") == "Fourteen chars"
+
+
+def test_no_line_of_a_marked_article_is_lost():
+    """Beside lists of any length, at its beginning or end, and in sections whose names are phrases."""
+    long = "A paragraph of the article, long enough to surge by itself, twice over."
+    for n in (1, 7, 40):
+        related = "<ul class=related>" + "<li><a href=/x>another story</a>" * n + "</ul>"
+        assert main_text(around(f"<article><p>{long}<p>{long}{related}<p>The end.</article>")) == f"{long} {long} The end."
+        assert main_text(around(f"<article><h1>Title</h1>{related}<p>{long}</article>")) == f"Title {long}"
+    assert main_text(f"<article><p>{long}<div class=share-of-votes><p>Forty percent.</div><section id=comments-on-law><p>None.</section></article>") == f"{long} Forty percent. None."
+    assert main_text(f"<article><p>{long}<div class='related-posts box'>no</div><div class=comments>no</div></article>") == long
+
+
+def test_window_sums_decide_on_unmarked_pages(monkeypatch):
+    """Short lines that surge together are text, a long line that stands alone is none; sums of single lines see it the other way round."""
+    poem, alone = [f"Line {n} of a poem." for n in range(20)], "Printed by us in the year of the great rain, at the sign of the two herons by the river."
+    links = lambda at: "".join(f"<p><a href=/{at}{n}>news of the day</a></p>" for n in range(7))
+    page = f"<div><p>{alone}</p></div>{links('x')}<div class=text>{''.join(f'<p>{x}</p>' for x in poem)}</div>{links('y')}"
+    assert main_text(page) == " ".join(poem)
+    monkeypatch.setattr(html_text, "block_sums", lambda weight, window=5: weight)
+    assert main_text(page) == alone
 
 
 def test_deep_pages_take_time_in_proportion():

@@ -3,15 +3,17 @@
 Markup is stripped to lines, one a block-level element. A line weighs its length; what is known of it may
 lower that: lines of menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and the
 like, known by element or by the words of class and id, weigh nothing, links count for nothing, and where a
-page marks its article (``article``, ``main`` or ``role="main"``), lines outside weigh ``OUTSIDE`` of their length.
+page marks its article (``article``, ``main`` or ``role="main"``) and that holds any text, lines outside weigh nothing. A name with a
+preposition or article in it, as ``share-of-votes``, tells what a text is about and is no mark of noise.
 
 Weights are summed over sliding windows of ``WINDOW`` lines, centred on each line. A surge is where the sum rises
 to ``SURGE``, or to ``SHARE`` of the page's largest sum if that is less, so that short articles surge too; a
 dive is where it falls to nothing: as many lines without weight. The stretch between, from where it first
 weighs anything, is a candidate. Kept are the candidate of most weight, those with at least ``SHARE`` of it, and those
-in the same article or the same container, which an advert or a list of links may have split. Lines at the ends
-of these that weightless lines part from the rest go, unless they surge by themselves or belong to that
-article or container; so do lines of lowered weight that would not surge alone.
+in the same container, which an advert or a list of links may have split. In a marked article every stretch is kept,
+surging or not, however many lines of lists or adverts lie between; so on such pages the mark decides and not the sums. Lines at the ends
+of these in other containers, or parted from the rest by weightless lines, go unless the sums over their own windows reach ``SHARE`` of
+the page's largest, or they belong to that container; so do lines of lowered weight that would not surge alone.
 
 A null page counts as empty; a page without such text gives the empty string. Of candidates of equal weight
 the first is the one of most. Unclosed elements end with their parent; a page cut short keeps what it has; the
@@ -37,7 +39,6 @@ WINDOW = 5
 SURGE = 60
 SHARE = 0.3
 LINKS = 0.5
-OUTSIDE = 0.1
 
 # Element names of HTML.
 BLOCKS = set(
@@ -62,6 +63,8 @@ NOISE = re.compile(
     re.I,
 )
 NOISE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|promo\w*|recommended|related|replies|reply|sponsor\w*|teaser)(?=$|[\s_-])", re.I)
+# Words that make a name a phrase.
+PHRASE = re.compile(r"(?<=[_-])(?:of|on|in|the|and|for|to|by|about|with|from|at)(?=[_-])", re.I)
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$))", re.S)
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
@@ -85,7 +88,7 @@ def _marks(attributes: str, words: re.Pattern = NOISE) -> tuple[bool, bool]:
     for name, *values in _MARK.findall(attributes):
         name, value = name.lower(), html.unescape(next((v for v in values if v), "")).lower()
         if name in ("class", "id", "role"):
-            noise |= bool(words.search(value))
+            noise |= any(words.search(v) and not PHRASE.search(v) for v in value.split())
             main |= name == "role" and value == "main"
         else:
             noise |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", ""))
@@ -215,13 +218,13 @@ def lines(page: str) -> list[Line]:
 
 def weights(rows: list[Line]) -> np.ndarray:
     """What each line counts for: its length, lowered by what is known of it."""
-    marked = any(r.article and not r.noise for r in rows)
+    marked = any(r.article and not r.noise for r in rows)  # a line has text
     out = np.zeros(len(rows))
     for n, r in enumerate(rows):
         size = len(r.text)
         if not r.noise:
             own = size if r.article else size - r.linked if r.linked <= LINKS * size else 0
-            out[n] = own * (OUTSIDE if marked and not r.article else 1)
+            out[n] = own if r.article or not marked else 0
     return out
 
 
@@ -252,10 +255,13 @@ def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by one space."""
     rows = lines(page or "")
     weight = weights(rows)
+    if any(r.article and w > 0 for r, w in zip(rows, weight, strict=True)):
+        return " ".join(r.text for r, w in zip(rows, weight, strict=True) if w > 0)
     found = surges(weight)
     if not found:
         return ""
-    least = min(SURGE, SHARE * block_sums(weight).max())
+    peak = block_sums(weight).max()
+    least = min(SURGE, SHARE * peak)
     size = [weight[a:b].sum() for a, b in found]
     a, b = found[int(np.argmax(size))]
     home = Counter()
@@ -267,9 +273,10 @@ def main_text(page: str | None) -> str:
         mine = [n for n in range(a, b) if rows[n].home == own and weight[n] > 0]
         if s < SHARE * max(size) and not mine:
             continue
-        # what stands apart at an end of the stretch has to surge by itself, or belong to the container
-        runs = [r for r in np.split(np.arange(a, b), np.flatnonzero(np.diff(weight[a:b] > 0)) + 1) if weight[r[0]] > 0]
-        strong = [k for k, r in enumerate(runs) if weight[r].sum() >= least or rows[r[0]].home == own or rows[r[-1]].home == own]
+        # what stands apart at an end of the stretch, in another container or behind weightless lines, has to surge by itself
+        apart = [n for n in range(a + 1, b) if (weight[n] > 0) != (weight[n - 1] > 0) or rows[n].home != rows[n - 1].home]
+        runs = [r for r in np.split(np.arange(a, b), np.array(apart, int) - a) if weight[r[0]] > 0]
+        strong = [k for k, r in enumerate(runs) if rows[r[0]].home == own or block_sums(weight[r]).max() >= SHARE * peak]
         for r in runs[strong[0] : strong[-1] + 1] if strong else []:
             kept += [rows[n].text for n in r if weight[n] >= LINKS * len(rows[n].text) or weight[n] >= least]
     return " ".join(kept)
