@@ -421,6 +421,19 @@ def quantile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.agg(F.count("value").alias("n"), *(within(p, n, v).alias(f"within_{round(100 * p)}") for p, (n, v) in sorted(limits.items())))
 
 
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted lists with product quantisation against the exact search: is the recall of five neighbours 0.95 or more?
+
+    These vectors lie in all directions alike, so three quarters of the lists are probed; vectors with clusters need a few.
+    """
+    from ..operators import ivf
+
+    queries, refs = _vector_sides(spark, sf_dir)
+    index = ivf.build(refs, DIMS)
+    found = ivf.search(queries, index, 5, DIMS, probes=-(-3 * len(index.centres) // 4), rerank=128)
+    return ivf.recall(found, knn(queries, refs, 5, "scan", DIMS)).select("queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
 def generated_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generate.generate_payloads(spark, *REFERENCES)
     return rows.groupBy("profile").agg(F.count("*").alias("n"), F.min("transaction.amount").alias("least"), F.max("transaction.amount").alias("most"), F.count_if(F.col("last_transaction").isNull()).alias("first_ones"))
@@ -536,6 +549,7 @@ SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custk
         ) + " FROM lineitem",
     ),
     "quantile_bounds": (quantile_bounds, "SELECT count(value) AS n, true AS within_50, true AS within_90, true AS within_99 FROM events"),
+    "ivf_recall": (ivf_recall, "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0"),
     "generated_stats": (generated_stats, generated_sql.statistics(*REFERENCES)),
     "generated_labels": (generated_labels, generated_sql.decisions(PAYLOADS, REFERENCES)),
     "stream_score": (stream_score, generated_sql.decisions(PAYLOADS, REFERENCES)),
