@@ -458,6 +458,29 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{home}/out").drop("batch")
 
 
+def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON payloads in files, streamed, checked and scored against the labelled events."""
+    from ..streaming.score import parquet_sink, score_stream
+
+    home = _shared_folder(spark, "orders")
+    made = _table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(_order_payload().alias("p")).select("p.*")
+    made.repartition(4).write.option("ignoreNullFields", "false").json(f"{home}/in")
+    _, refs = _event_sides(spark, sf_dir)
+    score_stream(payloads.stream_payloads(spark, f"{home}/in", 2), refs, parquet_sink(f"{home}/out"), f"{home}/state", strategy="keyed").awaitTermination()
+    return spark.read.parquet(f"{home}/out").drop("batch")
+
+
+_PAYLOAD_VECTORS_SQL = (
+    """WITH r AS (SELECT 'tx-' || o_orderkey AS id, o_totalprice / 10000e0 AS r0, (o_orderkey % 12 + 1) / 12e0 AS r1, o_totalprice / (o_totalprice / 2) / 10e0 AS r2, extract(hour FROM o_orderdate) / 23e0 AS r3,
+(isodow(o_orderdate) - 1) / 6e0 AS r4, CASE WHEN o_orderkey % 5 > 0 THEN 0e0 END AS r5, CASE WHEN o_orderkey % 5 > 0 THEN 2.5e0 / 1000e0 END AS r6, o_custkey / 1000e0 AS r7, (o_custkey % 20) / 20e0 AS r8,
+CASE WHEN o_orderkey % 2 = 0 THEN 1e0 ELSE 0e0 END AS r9, CASE WHEN o_orderkey % 2 <> 0 THEN 1e0 ELSE 0e0 END AS r10, 0e0 AS r11, 0.5e0 AS r12, 1.5e0 / 10000e0 AS r13 FROM orders) SELECT id, """
+    + EVENT_SQL.split("SELECT event_id, event_type, ")[-1].split(" FROM raw")[0] + " FROM r"
+)
+_STREAMED_SQL = f"""{EVENT_SQL}, o AS ({_PAYLOAD_VECTORS_SQL}), q AS (SELECT * FROM o WHERE CAST(substr(id, 4) AS BIGINT) % 50 = 0), best AS (
+  SELECT q.id, r.event_type = 'error' AS is_fraud, row_number() OVER (PARTITION BY q.id ORDER BY {_D2}, r.event_id) AS rank FROM q, f r QUALIFY rank <= 5
+), votes AS (SELECT id, count(*) AS total, count(*) FILTER (WHERE is_fraud) AS frauds FROM best GROUP BY id)
+SELECT id, CAST(frauds AS DOUBLE) / total AS fraud_score, 5 * frauds < 3 * total AS approved FROM votes"""
+
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "knn_neighbors": (_neighbours(5), _knn_sql(5)),
     "knn_brute": (_neighbours(5, "brute"), _knn_sql(5)),
@@ -518,13 +541,7 @@ o_totalprice / 2 AS customer_avg_amount, CAST(o_custkey % 20 AS INTEGER) AS cust
 CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS last_transaction_timestamp, CASE WHEN o_orderkey % 5 > 0 THEN 2.5e0 END AS last_transaction_km_from_current FROM orders""",
     ),
     "installment_value": (installment_value, "SELECT 'tx-' || o_orderkey AS id, floor(o_totalprice / (o_orderkey % 12 + 1) * 1e6 + 0.5e0) / 1e6 AS installment FROM orders"),
-    "payload_vectors": (
-        payload_vectors,
-        """WITH r AS (SELECT 'tx-' || o_orderkey AS id, o_totalprice / 10000e0 AS r0, (o_orderkey % 12 + 1) / 12e0 AS r1, o_totalprice / (o_totalprice / 2) / 10e0 AS r2, extract(hour FROM o_orderdate) / 23e0 AS r3,
-(isodow(o_orderdate) - 1) / 6e0 AS r4, CASE WHEN o_orderkey % 5 > 0 THEN 0e0 END AS r5, CASE WHEN o_orderkey % 5 > 0 THEN 2.5e0 / 1000e0 END AS r6, o_custkey / 1000e0 AS r7, (o_custkey % 20) / 20e0 AS r8,
-CASE WHEN o_orderkey % 2 = 0 THEN 1e0 ELSE 0e0 END AS r9, CASE WHEN o_orderkey % 2 <> 0 THEN 1e0 ELSE 0e0 END AS r10, 0e0 AS r11, 0.5e0 AS r12, 1.5e0 / 10000e0 AS r13 FROM orders) SELECT id, """
-        + EVENT_SQL.split("SELECT event_id, event_type, ")[-1].split(" FROM raw")[0] + " FROM r",
-    ),
+    "payload_vectors": (payload_vectors, _PAYLOAD_VECTORS_SQL),
     "label_encode": (label_encode, "SELECT doc_id, CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'FRAUD' ELSE 'fraud' END ELSE 'legit' END AS label, toxic AS is_fraud FROM labels"),
     "confusion_matrix": (confusion_matrix, _CONFUSION),
     "p99_latency": (p99_latency, "SELECT floor(quantile_cont(value, 0.99) * 1e6 + 0.5e0) / 1e6 AS p99 FROM events"),
@@ -553,6 +570,7 @@ SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custk
     "generated_stats": (generated_stats, generated_sql.statistics(*REFERENCES)),
     "generated_labels": (generated_labels, generated_sql.decisions(PAYLOADS, REFERENCES)),
     "stream_score": (stream_score, generated_sql.decisions(PAYLOADS, REFERENCES)),
+    "stream_orders": (stream_orders, _STREAMED_SQL),
     "stored_neighbors": (stored_neighbors, _event_knn_sql(5) + _EVENT_NEIGHBOURS),
     "reference_file": (
         reference_file,
