@@ -8,7 +8,7 @@ import pytest
 from vicinity.plans import catalogue
 
 HOME = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("customer", "orders", "events", "documents", "embeddings", "labels")
+TABLES = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "labels")
 
 
 @pytest.fixture(scope="module")
