@@ -92,7 +92,7 @@ def _upper(refs: DataFrame, kind: str, dims: int) -> tuple[DataFrame, DataFrame]
     return rows, sizes.select("node", (F.col("n") > GATHER).alias("whole"))
 
 
-def _leaves(points: np.ndarray, kind: str, leaf_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(points: np.ndarray, kind: str, leaf_rows: int, task: int) -> tuple[np.ndarray, np.ndarray]:
     """The branch and the leaf of each row of what one task splits."""
     branch, leaf = np.zeros(len(points), np.int64), np.zeros(len(points), np.int32)
     branches = leaves = 0
@@ -112,7 +112,7 @@ def _leaves(points: np.ndarray, kind: str, leaf_rows: int) -> tuple[np.ndarray,
                 middle = np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2]
                 first = x <= middle if middle < x.max() else x < middle
             halves = (at[first], at[~first]) if 0 < first.sum() < len(at) else None
-        if not inside and (len(at) <= TASK or halves is None):  # a branch begins; what is under it is visited next
+        if not inside and (len(at) <= task or halves is None):  # a branch begins; what is under it is visited next
             branch[at], inside = branches, True
             branches += 1
         if halves is None:
@@ -132,9 +132,10 @@ def build(refs: DataFrame, kind: str = "cells", dims: int = 14, leaf_rows: int =
     """An index whose leaves have at most ``leaf_rows`` rows, unless these are equal."""
     rows, nodes = _upper(refs.selectExpr("cast(ref_id as bigint) ref_id", "cast(vector as array<double>) vector", "is_fraud"), kind, dims)
     placed = rows.join(sent(nodes), "node")
+    task = TASK
 
     def split(t: pa.Table) -> pa.Table:
-        branch, leaf = _leaves(_matrix(t.column("vector"), dims), kind, leaf_rows)
+        branch, leaf = _leaves(_matrix(t.column("vector"), dims), kind, leaf_rows, task)
         branch |= np.asarray(t.column("node"), np.int64) << WITHIN
         return pa.table([*(t.column(c) for c in ("ref_id", "vector", "is_fraud")), pa.array(branch), pa.array(leaf)], names=["ref_id", "vector", "is_fraud", "branch", "leaf"])
 
