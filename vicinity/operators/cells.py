@@ -305,7 +305,8 @@ def _phases(queries: DataFrame, index: Index, routes: Routes, k: int, dims: int)
     """What is met in the first phase, what it finds, and what is met in the second."""
     asked = queries.selectExpr("query_id", "cast(vector as array<double>) q")
     first = _routed(asked, routes.table, index.kind, dims, k, True)
-    below = index.branches.withColumn("above", _ancestor(F.col("branch"), routes.depth)) if routes.depth is not None else None
+    own = [F.col(c).alias(c) for c in index.branches.columns]  # columns of their own: branches and rows stem from one table, and meet in a cogroup
+    below = index.branches.select(*own, _ancestor(F.col("branch"), routes.depth).alias("above")) if routes.depth is not None else None
     if below is not None:
         inside = first.withColumnRenamed("branch", "above").join(routes.sent(below), "above")
         # of an ancestor's branches the nearest with k rows, else the nearest of most rows
