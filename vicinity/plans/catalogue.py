@@ -434,6 +434,34 @@ def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.recall(found, knn(queries, refs, 5, "scan", DIMS)).select("queries", (F.col("recall") >= 0.95).alias("enough"))
 
 
+def _metric_neighbours(metric: str):
+    """Five neighbours of every fiftieth vector, by a vantage-point tree."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..operators import metric as trees
+
+        queries, refs = _vector_sides(spark, sf_dir)
+        found = trees.search(queries, trees.build(refs, metric, DIMS), 5, DIMS)
+        return found.withColumn("distance", _six(F.col("distance")))
+
+    return run
+
+
+def _metric_sql(distance: str) -> str:
+    return f"""WITH pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS ref_id, {distance} AS distance, r.label % 3 = 0 AS is_fraud FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0
+), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs QUALIFY rank <= 5)
+SELECT query_id, ref_id, floor(distance * 1e6 + 0.5e0) / 1e6 AS distance, is_fraud, rank FROM best"""
+
+
+_SIZES = "sqrt(" + _DOT.format(a="q.embedding", b="q.embedding") + ") * sqrt(" + _DOT.format(a="r.embedding", b="r.embedding") + ")"
+_METRICS_SQL = {
+    "euclid": "sqrt(" + _VEC.format(a="q.embedding", b="r.embedding") + ")",
+    "manhattan": "list_sum(list_transform(range(1, 65), lambda i: abs(CAST(q.embedding[i] AS DOUBLE) - r.embedding[i])))",
+    "angular": "acos(greatest(-1, least(1, " + _DOT.format(a="q.embedding", b="r.embedding") + " / (" + _SIZES + "))))",
+}
+
+
 def generated_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generate.generate_payloads(spark, *REFERENCES)
     return rows.groupBy("profile").agg(F.count("*").alias("n"), F.min("transaction.amount").alias("least"), F.max("transaction.amount").alias("most"), F.count_if(F.col("last_transaction").isNull()).alias("first_ones"))
@@ -567,6 +595,7 @@ SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custk
     ),
     "quantile_bounds": (quantile_bounds, "SELECT count(value) AS n, true AS within_50, true AS within_90, true AS within_99 FROM events"),
     "ivf_recall": (ivf_recall, "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0"),
+    **{f"metric_{name}": (_metric_neighbours(name), _metric_sql(sql)) for name, sql in _METRICS_SQL.items()},
     "generated_stats": (generated_stats, generated_sql.statistics(*REFERENCES)),
     "generated_labels": (generated_labels, generated_sql.decisions(PAYLOADS, REFERENCES)),
     "stream_score": (stream_score, generated_sql.decisions(PAYLOADS, REFERENCES)),
