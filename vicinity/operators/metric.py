@@ -13,7 +13,7 @@ distance is real; then into all shells that reach into this distance. In a branc
 compared only if its distance from the leaf's first row and the query's differ by no more than the k-th distance.
 The nodes of a level go to all tasks if a count shows that they are few, else they are joined by a shuffle.
 
-References and queries whose vector is null, of another length or not finite are left out, so such queries have no
+References and queries whose vector is null, of another length or not finite (nor below 1e150) are left out, so such queries have no
 neighbours. Ties go by ``ref_id``; repeated references are each a neighbour. No references give no neighbours. Columns other than those named are ignored.
 """
 
@@ -34,7 +34,9 @@ from .selection import kept, sent
 #: Rows of a branch, which one task compares; shells of a node, a power of two; levels, after which a larger node is dealt out in parts.
 TASK, FAN, LEVELS = 32_768, 4, 28
 #: Queries compared with a leaf at a time.
-SOME = 1024
+SOME = 256
+#: Components from here on count as infinite; squares of smaller ones are not.
+LARGE = 1e150
 METRICS = ("euclid", "manhattan", "angular")
 
 
@@ -81,7 +83,7 @@ def _reach(d, metric: str):
 
 def _whole(rows: DataFrame, dims: int) -> DataFrame:
     """Rows whose vector is complete."""
-    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGE))
     return rows.withColumn("vector", F.col("vector").cast("array<double>")).where((F.size("vector") == dims) & sound)
 
 
@@ -162,25 +164,39 @@ def _descended(asked: DataFrame, tree: Tree, dims: int, first: bool) -> DataFram
 
 
 class _Nearest:
-    """The k nearest so far of every query, under a metric."""
+    """The k nearest so far of every query, under a metric; free places are at an infinite distance."""
 
     def __init__(self, queries: np.ndarray, most: np.ndarray, k: int, metric: str) -> None:
-        self.queries, self.worst, self.k, self.metric, self.pairs = queries, most.copy(), k, metric, 0
-        self.query, self.d, self.ref, self.fraud = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.queries, self.worst, self.metric, self.pairs = queries, most.copy(), metric, 0
+        self.d, self.ref, self.fraud = np.full((len(queries), k), np.inf), np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), bool)
 
     def add(self, rows: np.ndarray, ids: np.ndarray, fraud: np.ndarray, from_first: np.ndarray, only: np.ndarray, q_first: np.ndarray) -> None:
         """Rows of a leaf for the queries ``only``; distances of both from the leaf's first row are known."""
         for start in range(0, len(only), SOME):
             who, gap = only[start : start + SOME], np.abs(q_first[start : start + SOME, None] - from_first[None, :])
-            at, ref = np.nonzero(gap <= _reach(self.worst[who], self.metric)[:, None])
+            wanted = gap <= _reach(self.worst[who], self.metric)[:, None]
+            at, ref = np.nonzero(wanted)
             self.pairs += len(at)
-            query, d, new, bad = (np.concatenate(p) for p in ((self.query, who[at]), (self.d, between(self.queries[who[at]], rows[ref], self.metric)), (self.ref, ids[ref]), (self.fraud, fraud[ref])))
-            order = np.lexsort((new, d, query))
-            best_of = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < self.k]
-            self.query, self.d, self.ref, self.fraud = query[best_of], d[best_of], new[best_of], bad[best_of]
-            n = np.bincount(self.query, minlength=len(self.queries))
-            full = np.flatnonzero(n == self.k)
-            self.worst[full] = np.minimum(self.worst[full], self.d[np.cumsum(n)[full] - 1])
+            if 8 * len(at) > wanted.size:  # most pairs: without copies of vectors
+                d = between(self.queries[who][:, None, :], rows[None, :, :], self.metric)[wanted]
+            else:
+                d = between(self.queries[who[at]], rows[ref], self.metric)
+            near = np.flatnonzero(d <= self.worst[who[at]])
+            self._keep(who[at[near]], d[near], ids[ref[near]], fraud[ref[near]])
+
+    def _keep(self, query: np.ndarray, d: np.ndarray, ids: np.ndarray, fraud: np.ndarray) -> None:
+        """Candidates among what their queries have."""
+        of, k = np.unique(query), self.d.shape[1]
+        query, d, ids, fraud = (np.concatenate(p) for p in ((np.repeat(of, k), query), (self.d[of].ravel(), d), (self.ref[of].ravel(), ids), (self.fraud[of].ravel(), fraud)))
+        order = np.lexsort((ids, d, query))
+        first = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]  # k of each query, as it has k places
+        self.d[of], self.ref[of], self.fraud[of] = (v[first].reshape(-1, k) for v in (d, ids, fraud))
+        self.worst[of] = np.minimum(self.worst[of], self.d[of, -1])
+
+    def table(self, names: pa.ChunkedArray) -> pa.Table:
+        at, place = np.nonzero(np.isfinite(self.d))
+        found = [names.combine_chunks().take(pa.array(at)), *(pa.array(v[at, place]) for v in (self.ref, self.d, self.fraud))]
+        return pa.table(found, names=["query_id", "ref_id", "d2", "is_fraud"])
 
 
 def _meet(some: pa.Table, among: pa.Table, metric: str, k: int, dims: int) -> _Nearest:
@@ -219,10 +235,7 @@ def _compared(met: DataFrame, tree: Tree, k: int, dims: int, count: bool = False
 
     def compare(some: pa.Table, among: pa.Table) -> pa.Table:
         near = _meet(some, among, metric, k, dims)
-        if count:
-            return pa.table({"pairs": [near.pairs]})
-        found = [some.column("query_id").combine_chunks().take(pa.array(near.query)), pa.array(near.ref), pa.array(near.d), pa.array(near.fraud)]
-        return pa.table(found, names=["query_id", "ref_id", "d2", "is_fraud"])
+        return pa.table({"pairs": [near.pairs]}) if count else near.table(some.column("query_id"))
 
     schema = "pairs long" if count else NEIGHBOUR_SCHEMA.format(id=met.schema["query_id"].dataType.simpleString())
     grouped = asked.select("query_id", "q", "most", *of).groupBy(*of).cogroup(rows.select("ref_id", "vector", "is_fraud", "leaf", *of).groupBy(*of))
