@@ -434,6 +434,15 @@ def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.recall(found, knn(queries, refs, 5, "scan", DIMS)).select("queries", (F.col("recall") >= 0.95).alias("enough"))
 
 
+def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash tables with probes against the exact search of events: is the recall of five neighbours 0.95 or more?"""
+    from ..operators import ivf, lsh
+
+    queries, refs = _event_sides(spark, sf_dir)
+    found = ivf.recall(lsh.search(queries, lsh.build(refs, 14), 5, 14), knn(queries, refs, 5, "scan"))
+    return found.select("queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
 def _metric_neighbours(metric: str):
     """Five neighbours of every fiftieth vector, by a vantage-point tree."""
 
@@ -595,6 +604,7 @@ SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custk
     ),
     "quantile_bounds": (quantile_bounds, "SELECT count(value) AS n, true AS within_50, true AS within_90, true AS within_99 FROM events"),
     "ivf_recall": (ivf_recall, "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0"),
+    "lsh_recall": (lsh_recall, "SELECT count(*) AS queries, true AS enough FROM events WHERE event_id % 50 = 0"),
     **{f"metric_{name}": (_metric_neighbours(name), _metric_sql(sql)) for name, sql in _METRICS_SQL.items()},
     "generated_stats": (generated_stats, generated_sql.statistics(*REFERENCES)),
     "generated_labels": (generated_labels, generated_sql.decisions(PAYLOADS, REFERENCES)),
