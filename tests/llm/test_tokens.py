@@ -50,12 +50,32 @@ def test_digests(spark, reference):
     assert byte_bpe.digest(docs_of(spark).where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_long_rows_merge_as_short_ones_do(monkeypatch):
+def test_rows_of_all_lengths_merge_as_in_a_plain_loop(reference):
+    """One block and many, one compaction and several, padded beside longer rows and alone."""
     v = vocabulary.load(RANKS, public_tokenizers.PATTERN)
-    words = ["".join(RNG.choice("theandr ") for _ in range(n)).encode() for n in (1, 2, 3, 50, 200)]
-    short = v.encode_words(words)
-    monkeypatch.setattr(vocabulary, "MATRIX_WIDTH", 0)
-    assert all((a == b).all() for a, b in zip(short, v.encode_words(words), strict=True))
+    ranks = {t: i for i, t in enumerate(v.tokens)}
+
+    def plain(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    words = ["".join(RNG.choice("theandr ") for _ in range(n)).encode() for n in (1, 2, 3, 50, 60, 63, 64, 65, 66, 100, 200, 255, 256, 257, 400) for _ in range(4)]
+    words += [b"", b" " * 300, b"a" * 257, bytes(range(256)), "日本é".encode() * 40]
+    expected = [plain(w) for w in words]
+    assert [ids.tolist() for ids in v.encode_words(words)] == expected
+    assert [v.encode_words([w])[0].tolist() for w in words] == expected
+
+
+def test_very_long_rows(reference):
+    v = vocabulary.load(RANKS, public_tokenizers.PATTERN)
+    words = ["".join(RNG.choice("theandrio") for _ in range(n)) for n in (5000, 5001, 7000, 30_000)] + [" " * 20_000]
+    for word, ids in zip(words, v.encode_words([w.encode() for w in words]), strict=True):
+        assert ids.tolist() == reference._encode_single_piece(word)
 
 
 def test_what_is_kept_is_bounded(reference):

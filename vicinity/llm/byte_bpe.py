@@ -2,8 +2,8 @@
 
 ``encode(docs, path, pattern)`` adds to each row the ids of its text and the bytes they decode to.
 
-A null text counts as empty: no ids, no bytes. Text of any length is encoded whole; a match longer
-than the widest matrix is merged by itself with block minima. Equal texts give equal ids; repeated
+A null text counts as empty: no ids, no bytes. Text of any length is encoded whole; matches of all
+lengths are merged in matrices, with block minima where rows are long. Equal texts give equal ids; repeated
 rows give repeated rows; an empty table gives none. Columns other than the id and the text are
 not looked at, so extra columns may have any name.
 """

@@ -9,9 +9,7 @@ import numpy as np
 import regex
 
 NO_PAIR = np.int32(2**31 - 1)
-#: Rows longer than this are merged one at a time, with block minima: in a matrix, every round looks at the whole row.
-MATRIX_WIDTH = 2048
-#: Cells of one padded matrix.
+#: Cells of one padded matrix, unless a single row has more.
 MATRIX_CELLS = 1 << 20
 
 
@@ -79,11 +77,8 @@ class Vocabulary:
         start = int(np.searchsorted(sizes[order], 1))
         while start < len(order):
             width = int(sizes[order[start]])
-            width = -(-width // 4) * 4
-            if width > MATRIX_WIDTH:
-                for i in order[start:]:
-                    out[i] = self._merge_long(words[i])
-                break
+            step = 4 if width <= 64 else 1 << width.bit_length() - 2
+            width = -(-width // step) * step
             end = min(int(np.searchsorted(sizes[order], width, "right")), start + max(1, MATRIX_CELLS // width))
             rows = order[start:end]
             flat = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(len(rows), width)
@@ -93,76 +88,61 @@ class Vocabulary:
             start = end
         return out
 
-    def _merge_matrix(self, m: np.ndarray) -> list[np.ndarray]:
-        """Each round merges the leftmost pair of least rank in every row that has one, then closes the gap."""
-        out: list[np.ndarray] = [None] * len(m)  # type: ignore[list-item]
-        rows = np.arange(len(m))
-        rank = self.pairs.find(m[:, :-1], m[:, 1:])
-        while len(m):
-            at = rank.argmin(1)
-            least = rank[np.arange(len(m)), at]
-            live = least != NO_PAIR
-            if not live.all():
-                ended = m[~live]
-                sizes = (ended >= 0).sum(1)
-                for r, ids, n in zip(rows[~live].tolist(), ended, sizes.tolist(), strict=True):
-                    out[r] = ids[:n]
-                m, rank, rows, at, least = m[live], rank[live], rows[live], at[live], least[live]
-                if not len(m):
-                    break
-            each = np.arange(len(m))
-            m[each, at] = least
-            keep = np.ones(m.shape, bool)
-            keep[each, at + 1] = False
-            m = m[keep].reshape(len(m), -1)
-            keep = np.ones(rank.shape, bool)
-            keep[each, at] = False
-            rank = rank[keep].reshape(len(m), -1)
-            if not rank.shape[1]:
-                for r, ids in zip(rows.tolist(), m, strict=True):
-                    out[r] = ids
-                break
-            for pair in (np.minimum(at, rank.shape[1] - 1), np.maximum(at - 1, 0)):
-                rank[each, pair] = self.pairs.find(m[each, pair], m[each, pair + 1])
+    def _merge_matrix(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Each round merges the leftmost pair of least rank in every row that has one.
+
+        Ranks lie in blocks with their minima, of about the square root of the width each, so a round looks at the minima and one
+        block of a row, not at all of it; tokens are linked over the gaps. A row loses a token a round, and when half
+        of the width is gone, rows are compacted and those without a pair leave the matrix.
+        """
+        out: list[np.ndarray] = [None] * len(ids)  # type: ignore[list-item]
+        rows = np.arange(len(ids))
+        while len(ids):
+            n, width = ids.shape
+            block = width + 1 if width <= 64 else 1 << (width.bit_length() + 1) // 2
+            blocks = width // block + 1  # at least one more place than the width, for the ends of the links
+            token = np.full((n, blocks * block), -1, np.int32)
+            token[:, :width] = ids
+            rank = np.full(token.shape, NO_PAIR, np.int32)
+            rank[:, : width - 1] = self.pairs.find(ids[:, :-1], ids[:, 1:])
+            tiles = rank.reshape(n, blocks, block)
+            least = tiles.min(2)
+            places = np.arange(width + 1, dtype=np.int32)
+            after, before = np.tile(places + 1, (n, 1)), np.tile(places - 1, (n, 1))
+            before[:, 0] = width
+            each = np.arange(n)
+            rounds = width if blocks == 1 else width // 2
+            for _ in range(rounds):
+                at = least[each].argmin(1)
+                near = tiles[each, at]
+                i = near.argmin(1)
+                new = near[np.arange(len(each)), i]
+                i += at * block
+                live = new != NO_PAIR
+                if not live.all():
+                    each, i, new = each[live], i[live], new[live]
+                    if not len(each):
+                        break
+                j, h = after[each, i], before[each, i]
+                k = after[each, j]
+                token[each, i], token[each, j] = new, -1
+                after[each, i], before[each, k] = k, i
+                rank[each, j] = NO_PAIR
+                both, changed = np.concatenate([each, each]), np.concatenate([i, h])
+                rank[both, changed] = self.pairs.find(np.concatenate([new, token[each, h]]), np.concatenate([token[each, k], new]))
+                if blocks > 1:
+                    row, tile = np.concatenate([both, each]), np.concatenate([changed, j]) // block
+                    least[row, tile] = tiles[row, tile].min(1)
+            ended = np.ones(n, bool)
+            ended[each] = False
+            left = token[ended]
+            flat, ends = left[left >= 0], np.cumsum((left >= 0).sum(1)).tolist()
+            for r, first, last in zip(rows[ended].tolist(), [0, *ends], ends, strict=False):
+                out[r] = flat[first:last]
+            rows, token = rows[each], token[each]
+            ids = np.take_along_axis(token, np.argsort(token < 0, axis=1, kind="stable")[:, : width - rounds], 1)
         return out
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        """The same merges for one long row in about n * sqrt(n) steps: ranks in blocks, each with its minimum."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].astype(np.int64)
-        n = len(ids)
-        block = 1 << max(5, (n.bit_length() + 1) // 2)
-        rank = np.full(-(-n // block) * block, NO_PAIR, np.int32)
-        rank[: n - 1] = self.pairs.find(ids[:-1], ids[1:])
-        least = rank.reshape(-1, block).min(1)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        known: dict[tuple[int, int], int] = {}
-
-        def lookup(a: int, b: int) -> int:
-            if (a, b) not in known:
-                known[a, b] = int(self.pairs.find(np.array([a]), np.array([b]))[0])
-            return known[a, b]
-
-        def put(i: int, value: int) -> None:
-            rank[i] = value
-            b = i // block
-            least[b] = rank[b * block : (b + 1) * block].min()
-
-        while True:
-            b = int(least.argmin())
-            if least[b] == NO_PAIR:
-                break
-            i = b * block + int(rank[b * block : (b + 1) * block].argmin())
-            j = int(after[i])
-            ids[i], ids[j] = rank[i], -1
-            k = after[i] = int(after[j])
-            put(j, NO_PAIR)
-            if k < n:
-                before[k] = i
-            put(i, lookup(int(ids[i]), int(ids[k])) if k < n else NO_PAIR)
-            if (h := int(before[i])) >= 0:
-                put(h, lookup(int(ids[h]), int(ids[i])))
-        return ids[ids >= 0].astype(np.int32)
-
 
 @lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> Vocabulary:
