@@ -269,3 +269,51 @@ def test_stream_equals_batch(spark, tmp_path):
     labelled = generate.labelled_set(rows, decide.score(rows, refs))
     payloads.write_test_set(labelled, str(tmp_path / "set"))
     assert payloads.read_test_set(spark, str(tmp_path / "set")).count() == 80
+
+
+@pytest.mark.parametrize("strategy", ["scan", "keyed"])
+def test_more_queries_than_a_block_are_not_compared_with_all(data, monkeypatch, strategy):
+    queries, refs, q, r = data
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "scan", None)
+    assert rows_of(knn(q, r, 5, strategy)) == plain(queries, refs, 5)
+
+
+def test_wide_queries_in_several_blocks(data, monkeypatch):
+    queries, refs, q, r = data
+    for name, value in (("BLOCK", 7), ("GRID_QUERIES", 9), ("GRID_REFS", 70), ("PRUNED", 3)):
+        monkeypatch.setattr(search, name, value)
+    assert rows_of(knn(q, r, 5, "scan")) == plain(queries, refs, 5)
+
+
+@pytest.mark.parametrize("strategy", ["scan", "keyed", "cells", "boxes"])
+def test_equal_queries_are_searched_once(spark, data, monkeypatch, strategy):
+    """Also with repeated references, of which the k of least id may be near."""
+    queries, refs, *_ = data
+    many = [(i + 1000 * n, v) for n in range(4) for i, v in queries]
+    copies = [(i + 1000 * n, v, f) for n in range(4) for i, v, f in refs]
+    q, r = spark.createDataFrame(many, NEIGHBOURS), spark.createDataFrame(copies, REFS)
+    met, inner = [], search._found
+    monkeypatch.setattr(search, "BLOCK", 30)
+    monkeypatch.setattr(search, "_found", lambda some, among, *more: (met.append((some.count(), among.count())), inner(some, among, *more))[1])
+    assert rows_of(knn(q, r, 5, strategy)) == plain(many, copies, 5)
+    different = len({tuple(v) for _, v, _ in refs})
+    assert met == [(len({tuple(v) for _, v in queries}), min(5, 4) * (different - 1) + 5)]
+
+
+@pytest.mark.parametrize("kind", ["cells", "boxes"])
+def test_the_upper_part_needs_no_pass_for_each_level(data, monkeypatch, kind):
+    queries, refs, q, r = data
+    for name, value in (("GATHER", 60), ("TASK", 20), ("_box_sides", None), ("_ball_sides", None)):
+        monkeypatch.setattr(cells, name, value)
+    index = cells.build(r, kind, leaf_rows=5)
+    assert index.rows.count() == len(refs) and index.branches.count() > 8
+    assert rows_of(cells.search(q, index, 5, 14)) == plain(queries, refs, 5)
+
+
+def test_a_poor_sample_costs_levels_not_rows(data, monkeypatch):
+    queries, refs, q, r = data
+    for name, value in (("GATHER", 120), ("TASK", 20), ("SAMPLE", 4)):
+        monkeypatch.setattr(cells, name, value)
+    index = cells.build(r, "boxes", leaf_rows=5)
+    assert index.rows.count() == len(refs) and rows_of(cells.search(q, index, 5, 14)) == plain(queries, refs, 5)
