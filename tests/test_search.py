@@ -317,3 +317,11 @@ def test_a_poor_sample_costs_levels_not_rows(data, monkeypatch):
         monkeypatch.setattr(cells, name, value)
     index = cells.build(r, "boxes", leaf_rows=5)
     assert index.rows.count() == len(refs) and rows_of(cells.search(q, index, 5, 14)) == plain(queries, refs, 5)
+
+
+def test_brute_ranks_few_pairs(data, monkeypatch):
+    queries, refs, q, r = data
+    ranked, inner = [], search.best
+    monkeypatch.setattr(search, "best", lambda pairs, k: (ranked.append(pairs.count()), inner(pairs, k))[1])
+    assert rows_of(knn(q, r, 5, "brute")) == plain(queries, refs, 5)
+    assert ranked[0] < len(queries) * len(refs) / 4
