@@ -127,6 +127,48 @@ def test_trees_find_what_a_scan_finds(monkeypatch):
     assert len(resemblance.Tree(prints[:0]).near(prints[0], 79)) == 0
 
 
+def test_a_shared_passage_costs_no_check_of_its_own_for_each_pair(monkeypatch):
+    """Texts that share a passage and few of which are near: the links of brute force, by one check a text looked up."""
+    np, pa = resemblance.np, resemblance.pa
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    texts = [" ".join(passage + [f"o{rng.random()}" for _ in range(10 + i % 9)]) for i in range(60)]
+    texts += [t + " end" for t in texts[:15]]
+    sets = [resemblance.shingles(t.encode()) for t in texts]
+    key = int(resemblance._longs(resemblance.bands(sets[0])[:1])[0])
+    rows = []
+    for other in (False, True):
+        for i, s in enumerate(sets):
+            keys = [key, *range(100 * i, 100 * i + resemblance.BANDS - 1)]  # only the first is shared
+            rows.append({"fp": i, "component": i, "other": other, "prints": resemblance._longs(resemblance.prints(s)).tolist(), "keys": keys, "hashes": resemblance.short(s).tolist()})
+    longs = pa.list_(pa.int64())
+    kind = pa.struct([("fp", pa.int64()), ("component", pa.int64()), ("other", pa.bool_()), ("prints", longs), ("keys", longs), ("hashes", pa.list_(pa.int32()))])
+    calls, plain = [], np.intersect1d
+    monkeypatch.setattr(np, "intersect1d", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    found = resemblance.tree_links(key, pa.array(rows[:1] + rows, kind).slice(1))
+    group = list(range(len(texts)))
+    for a, b in found:
+        old, low = max(group[a], group[b]), min(group[a], group[b])
+        group = [low if g == old else g for g in group]
+    want = plain_groups(texts)
+    assert group == want and len(texts) - 15 >= len(set(want)) > 20
+    assert len(calls) <= len(texts)
+
+
+def test_links_that_differ_between_evaluations(spark):
+    """Edges that connect the same nodes by other links each time they are evaluated are one component."""
+
+    def star(batches):
+        for _ in batches:
+            middle = random.SystemRandom().randrange(60)
+            others = [i for i in range(60) if i != middle]
+            yield resemblance.pa.RecordBatch.from_pydict({"a": [middle] * 59, "b": others})
+
+    edges = spark.range(1, numPartitions=1).mapInArrow(star, "a long, b long")
+    for _ in range(2):
+        assert {r.node: r.component for r in components(edges).collect()} == dict.fromkeys(range(60), 0)
+
+
 def test_clashing_columns(spark):
     rows = [(1, "the same text of some words here", "x"), (2, "the same text of some words here", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").selectExpr("*", "fp as id", "fp as row", "fp as hashes", "fp as component")

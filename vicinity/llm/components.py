@@ -18,10 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among a node's neighbours, by a join and an aggregation with
     partial sums, then follows labels to their labels, so a chain of n nodes takes about log n rounds.
     Only a count of changed rows comes to the driver. Loops, repeated edges and edges in one
-    direction only are allowed; rows with a null end are ignored; no edges give an empty table.
+    direction only are allowed; rows with a null end are ignored; no edges give an empty table. ``edges`` is
+    evaluated once, as another time it may give other links that connect the same.
     """
     ends = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut(ends.union(ends.select("b", "a")).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(ends.select(F.explode(ways).alias("way")).select("way.*").distinct())  # one evaluation gives both directions
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))

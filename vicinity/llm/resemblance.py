@@ -9,7 +9,7 @@ equal pieces of the fingerprint, which ``simhash`` uses for its radius of 2. Sha
 on one of 24 bands of four MinHash values instead: a pair at exactly 0.8 shares none with probability 3e-6,
 a closer one with less. Within a shard (``linking.connect``), nodes within ``RADIUS`` bits of its least one are
 compared with that; the rest are looked up in BK-trees of bounded parts of the shard. What is within the
-radius is settled by the Jaccard similarity of the sets, there and then, in the first shard that both are in; a part
+radius is settled by the Jaccard similarity of the sets, there and then (of a text and all that its lookup found, at once), in the first shard that both are in; a part
 gives a spanning set of its links, never all pairs. ``RADIUS`` is five standard deviations above the mean distance of
 small sets at 0.8. Sets are compared by 32 bits of each hash: two shingles of a pair of texts fall together with a
 chance of about 1e-5.
@@ -190,7 +190,10 @@ def tree_links(key: int, rows: pa.StructArray) -> list[tuple[int, int]]:
     fp, component, other = column("fp"), column("component"), column("other").astype(bool)
     prints, keys = matrix("prints", PIECES).view(np.uint64), matrix("keys", BANDS)
     sets = rows.field("hashes")
-    ends, flat = np.asarray(sets.offsets), np.asarray(sets.values)
+    ends = np.asarray(sets.offsets)
+    values, flat = np.unique(np.asarray(sets.values)[ends[0] : ends[-1]], return_inverse=True)  # numbers of elements
+    ends = ends - ends[0]
+    held = np.zeros(len(values), bool)
     members = np.flatnonzero(~other)
     own, sizes = component[members], np.diff(ends)[members]
     tree = Tree(prints[members])
@@ -202,14 +205,17 @@ def tree_links(key: int, rows: pa.StructArray) -> list[tuple[int, int]]:
         at = at[(own[at] != names[q]) & (5 * np.minimum(sizes[at], len(mine)) >= 4 * np.maximum(sizes[at], len(mine)))]
         theirs = keys[members[at]]
         at = at[np.where(theirs == keys[q], theirs, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == key]  # equal keys stand at the same place
-        for m in at.tolist():
-            if own[m] == names[q]:
-                continue
-            i = members[m]
-            if 9 * len(np.intersect1d(mine, flat[ends[i] : ends[i + 1]], assume_unique=True)) >= 4 * (len(mine) + int(sizes[m])):
+        if not len(at):
+            continue
+        held[mine] = True
+        stops = np.cumsum(sizes[at])
+        both = np.add.reduceat(held[flat[np.arange(stops[-1]) + np.repeat(ends[members[at]] + sizes[at] - stops, sizes[at])]], stops - sizes[at], dtype=np.int64)
+        held[mine] = False
+        for m in at[9 * both >= 4 * (len(mine) + sizes[at].astype(np.int64))].tolist():
+            if own[m] != names[q]:
                 old, new = max(own[m], names[q]), min(own[m], names[q])
                 own[own == old], names[names == old] = new, new
-                out.append((int(fp[q]), int(fp[i])))
+                out.append((int(fp[q]), int(fp[members[m]])))
     return out
 
 
