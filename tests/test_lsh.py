@@ -87,3 +87,44 @@ def test_odd_rows_and_no_rows(spark, data):
     assert lsh.search(queries.where("false"), lsh.build(refs, 8), 5, 8).columns == ["query_id", "ref_id", "d2", "is_fraud", "rank"]
     with pytest.raises(ValueError, match="projections"):
         lsh.build(refs, 8, projections=8)
+
+
+def test_copies_are_indexed_once(spark):
+    """Many copies of each vector change neither the width of cells nor the number of vectors that are compared, and each is a neighbour."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(400, 6)).tolist()
+    one = spark.createDataFrame([(i, v, i % 3 == 0) for i, v in enumerate(vectors)], REFS).repartition(4)
+    many = one.selectExpr("explode(sequence(0, 39)) as copy", "*").selectExpr("ref_id + 1000 * copy as ref_id", "vector", "(ref_id + copy) % 3 = 0 as is_fraud")
+    queries = many.where("ref_id % 20 = 0").selectExpr("ref_id as query_id", "transform(vector, x -> x + 0.01D) as vector")
+    index, plain = lsh.build(many, 6), lsh.build(one, 6)
+    assert index.width == pytest.approx(plain.width) and index.rows.count() == 400
+    assert [[c.ref_id for c in r.copies] for r in index.rows.where("first = 7").collect()] == [[7 + 1000 * c for c in range(8)]]
+    exact = knn(queries, many, 5, "scan", 6).persist()
+    found = lsh.search(queries, index, 5, 6).persist()
+    assert ivf.recall(found, exact).first().recall == 1
+    assert rows_of(found) == rows_of(exact)
+    more = lsh.search(queries.limit(50), index, 30, 6)  # more than the index keeps of a vector
+    assert rows_of(more) == rows_of(knn(queries.limit(50), many, 30, "scan", 6))
+
+
+def test_a_query_goes_once_to_each_bin_and_meets_what_shares_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "PART", 40)
+    vectors = np.concatenate([np.random.default_rng(2).normal(size=(600, 6)), np.linspace(0, 1e-9, 150)[:, None] * np.ones((150, 6))])  # many in one bucket
+    index = lsh.build(spark.createDataFrame([(i, v.tolist(), False) for i, v in enumerate(vectors)], REFS), 6)
+    layout = lsh._layout(index, index.rows, 6)
+    assert len(layout.split) > 6 and layout.parts.max() > 1 and layout.bins > 100
+    keys = lsh._keys(np.floor(index.places(vectors)))
+    group, parts = layout.place(keys)
+    homes = layout.bin(group, lsh._mixed(np.arange(len(vectors)))[:, None] % parts)
+    q = vectors[::25] + 0.02
+    who, to, cell = lsh._routes(layout, index, q, 24)
+    asked = lsh.probed(index.places(q), 24).reshape(len(q), -1)
+    met = set(zip(who.tolist(), to.tolist(), cell.tolist(), strict=True))
+    assert len(met) == len(who)
+    buckets = keys[-1]
+    for n in range(len(q)):
+        shared = np.argwhere(np.isin(buckets, asked[n]))
+        assert all((n, int(homes[r, t]), int(buckets[r, t])) in met for r, t in shared)
+    wide = lsh.Layout(layout.split[:0], layout.parts[:0], 10_000)
+    who, to, cell = lsh._routes(wide, index, q, 24)
+    assert len(lsh._starts(who, to)) < len(who) / 4 and {int(c) for c in cell} == set(asked.ravel().tolist())
